@@ -31,10 +31,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut by files that survive executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
