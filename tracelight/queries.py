@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelight import model, views
 from tracelight.functions import r6
-from tracelight.operators import association, encoding, events, inference, intervals, multiscale, preprocess, qc, runs, spectral, transients
+from tracelight.operators import association, encoding, events, inference, intervals, multiscale, population, preprocess, qc, runs, spectral, transients
 from tracelight.operators.joins import nearest, pairs_within
 from tracelight.views import KEYS, with_views
 
@@ -643,3 +643,52 @@ def residual_metrics(spark, d):
     rows = views.samples(spark, d).where("signal is not null").select(*KEYS, "t_us", F.col("signal").alias("observed"), (F.col("reference") / 2).alias("predicted"))
     out = encoding.residual_metrics(rows, ["subject"], segment=["subject", "session"])
     return out.select("subject", "n", *[r6(F.col(c)).alias(c) for c in ("r2", "rmse", "mae", "lag1", "durbin_watson")])
+
+
+@query(RUNS + """, du as (select subject, session, sum(case when n > 1 then (stop_us - start_us) / 1e6 else 0 end) as dur from runs group by all), ev as (select subject, session, count(*) filter (value > 100) as n from samples group by all),
+k as (select subject, case when session < '2024-01-16' then 'early' else 'late' end as condition, n, dur from du join ev using (subject, session))
+select subject, condition, sum(n)::bigint as n_events, round(sum(dur), 6) as duration_s, round(60 * sum(n) / sum(dur), 6) as estimate from k group by all""", "samples")
+def transient_population(spark, d):
+    found = views._stream(spark, d).where("value > 100").select(*KEYS, "t_us", F.col("value").alias("peak"))
+    sessions = transients.summarize_transients(views.samples(spark, d), found, KEYS).withColumn("condition", F.when(F.col("session") < "2024-01-16", "early").otherwise("late"))
+    out = population.pooled_rates(sessions)
+    return out.withColumn("duration_s", r6(F.col("duration_s"))).withColumn("estimate", r6(F.col("estimate")))
+
+
+@query(MULTI + """, w as (select subject, case when session < '2024-01-16' then 'early' else 'late' end as condition, session, quantile_cont(tw, 0.5) as v from f where (w1 - w0) / 21600000000 >= 0.95 and n >= 3 group by all)
+select subject, condition, round(quantile_cont(v, 0.5), 6) as estimate, count(*) as sessions from w group by all""", "samples")
+def multiscale_population(spark, d):
+    kept = _multiscale(spark, d).where("accepted").withColumn("condition", F.when(F.col("session") < "2024-01-16", "early").otherwise("late"))
+    sessions = kept.groupBy("subject", "session", "condition").agg(F.percentile("time_weighted_mean", F.lit(0.5)).alias("v"))
+    return population.session_estimates(sessions, "v").withColumn("estimate", r6(F.col("estimate")))
+
+
+@query()
+def multiscale_animals(spark, d):
+    found = population.infer_animals(multiscale_population(spark, d), a="early", b="late")
+    return spark.createDataFrame([(found.estimate, found.low, found.high, found.p, found.animals)], "estimate double, low double, high double, p double, animals long")
+
+
+@query()
+def peri_event_bands(spark, d):
+    rows = population.infer_curves(events.materialize_curves(_aligned(spark, d)), numerator="purchase", denominator="error", draws=500)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "rel_idx long, estimate double, se double, low double, high double, animals long")
+
+
+@query("""select 'green' as channel, round(regr_slope(2 * signal + 0.5 * reference + 1, signal), 2) as spread, count(*) as n from samples where signal is not null and reference is not null""", "samples")
+def mixing_calibration(spark, d):
+    rows = views.samples(spark, d).select(F.col("signal").alias("x"), F.col("reference").alias("y"), (2 * F.col("signal") + 0.5 * F.col("reference") + 1).alias("green"), (0.25 * F.col("signal") + 3 * F.col("reference")).alias("red"))
+    found = population.calibrate_mixing(rows, ["green", "red"], ["x", "y"])
+    assert abs(found["matrix"]["green"]["x"] - 2) < 1e-6 and abs(found["offsets"]["green"] - 1) < 1e-6
+    fit = rows.where("x is not null and y is not null").agg(F.round(F.regr_slope("green", "x"), 2).alias("spread"))
+    return fit.select(F.lit("green").alias("channel"), "spread", F.lit(found["n"]).cast("long").alias("n"))
+
+
+@query("""with x as (select *, lag(signal is null) over w as was, (t_us - lag(t_us) over w) / 1e6 as dt from samples window w as (partition by subject order by t_us)),
+q as (select subject, avg((signal is not null)::int) as ff, (sum((signal = lo)::int) - 1 + sum((signal = hi)::int) - 1) / count(signal) as er from (select *, min(signal) over (partition by subject) as lo, max(signal) over (partition by subject) as hi from samples) group by all)
+select subject, case when ff < 0.8 or er > 0.05 then 'error' when ff <= 0.95 or (er > 0.01 and er <= 0.05) then 'warning' else 'pass' end as status from q""", "samples")
+def sensor_validity(spark, d):
+    quality = qc.assess_signal_recording(views.samples(spark, d), ("subject",))
+    assigned = quality.select("subject", F.lit("indicator").alias("sensor"), F.lit(470.0).alias("excitation_nm"), F.lit(520.0).alias("emission_nm"))
+    profiles = spark.createDataFrame([("indicator", 450.0, 490.0, 500.0, 550.0)], "sensor string, excitation_min_nm double, excitation_max_nm double, emission_min_nm double, emission_max_nm double")
+    return population.assess_sensor_validity(quality, assigned, profiles, ("subject",)).select("subject", "status")
