@@ -200,3 +200,62 @@ def unmix(samples: DataFrame, matrix: dict[str, dict[str, float]], offsets: dict
     patterns = kept.groupBy(*keys, "t_us").agg(F.sum(place[F.col("channel")]).cast("int").alias("pattern"))
     out = kept.join(patterns, [*keys, "t_us"]).join(table, ["pattern", "channel"])
     return out.groupBy(*keys, "t_us", "pattern", "component").agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
+
+
+def kinetic_identifiability(weights: np.ndarray, runs_samples: list[int], interval_s: float, rise_s: float, *, strength: float = 0.0, minimum_per_rise: float = 3.0, minimum_ratio: float = 2.0, maximum_condition: float = 1e6) -> dict:
+    """Whether a kernel can be undone on runs of these lengths, judged before outcomes: samples per rise, spectrum, runs."""
+    gain = np.abs(np.fft.rfft(weights, 4 * len(weights)))
+    power = gain**2 + strength
+    ratios = [n / len(weights) for n in runs_samples]
+    facts = {"samples_per_rise": rise_s / interval_s, "condition": float(power.max() / max(power.min(), 1e-300)), "eligible_runs": sum(r >= minimum_ratio for r in ratios), "runs": len(ratios)}
+    problems = {"rise_undersampled": facts["samples_per_rise"] < minimum_per_rise, "ill_conditioned": facts["condition"] > maximum_condition, "no_run_long_enough": not facts["eligible_runs"]}
+    return facts | {"problems": [k for k, v in problems.items() if v]}
+
+
+def pair_hazards(first: dict, second: dict, *, minimum_nm: float = 20.0) -> list[str]:
+    """Reasons in two channels' metadata to expect crosstalk: shared detector or fibre, wavelengths too near."""
+    out = [f"shared_{k}" for k in ("detector", "fiber") if first.get(k) is not None and first.get(k) == second.get(k)]
+    for k in ("excitation", "emission"):
+        a, b = first.get(f"{k}_nm"), second.get(f"{k}_nm")
+        if a is not None and b is not None and abs(a - b) < minimum_nm:
+            out.append(f"{k}_too_near")
+    return out
+
+
+def node_permutation(edges: list[dict], *, resamples: int = 1000, seed: int = 0) -> tuple[float, float]:
+    """Correlation of edge strength (``fisher_z``) with ``distance``, and its p value under shuffled sites.
+
+    edges: all pairs (a, b) of one network; sites keep their places, strengths move with relabelled nodes."""
+    nodes = sorted({e["a"] for e in edges} | {e["b"] for e in edges})
+    at = {n: i for i, n in enumerate(nodes)}
+    z, d = np.full((len(nodes),) * 2, np.nan), np.full((len(nodes),) * 2, np.nan)
+    for e in edges:
+        i, j = at[e["a"]], at[e["b"]]
+        z[i, j] = z[j, i] = e["fisher_z"]
+        d[i, j] = d[j, i] = e["distance"]
+
+    def strength(order):
+        x, y = z[np.ix_(order, order)][np.triu_indices(len(nodes), 1)], d[np.triu_indices(len(nodes), 1)]
+        ok = ~np.isnan(x) & ~np.isnan(y)
+        return float(np.corrcoef(x[ok], y[ok])[0, 1])
+
+    observed = strength(np.arange(len(nodes)))
+    rng = np.random.default_rng(seed)
+    larger = sum(abs(strength(rng.permutation(len(nodes)))) >= abs(observed) - 1e-12 for _ in range(resamples))
+    return observed, (1 + larger) / (resamples + 1)
+
+
+def holdout_channels(samples: DataFrame, matrix: dict[str, dict[str, float]], offsets: dict[str, float] | None = None, keys=("subject", "session"), *, value: str = "signal") -> DataFrame:
+    """Each channel predicted from the others at times that have all channels: correlation, rmse and samples."""
+    keys, offsets = list(keys), offsets or {}
+    whole = samples.where(F.col("channel").isin(list(matrix)) & F.col(value).isNotNull()).groupBy(*keys, "t_us").agg(F.count_distinct("channel").alias("_n")).where(F.col("_n") == len(matrix)).drop("_n")
+    rows, out = samples.join(whole, [*keys, "t_us"], "left_semi"), None
+    for held in sorted(matrix):
+        rest = {c: m for c, m in matrix.items() if c != held}
+        parts = unmix(rows, rest, offsets, keys, value=value)
+        weight = F.create_map(*[F.lit(x) for co, w in matrix[held].items() for x in (co, float(w))])
+        predicted = parts.groupBy(*keys, "t_us").agg((F.sum(F.col("value") * F.coalesce(weight[F.col("component")], F.lit(0.0))) + float(offsets.get(held, 0.0))).alias("predicted"))
+        both = rows.where(F.col("channel") == held).select(*keys, "t_us", F.col(value).alias("observed")).join(predicted, [*keys, "t_us"])
+        found = both.groupBy(*keys).agg(F.corr("observed", "predicted").alias("correlation"), F.sqrt(F.avg((F.col("observed") - F.col("predicted")) ** 2)).alias("rmse"), F.count("*").alias("n")).withColumn("held_out", F.lit(held))
+        out = found if out is None else out.unionByName(found)
+    return out

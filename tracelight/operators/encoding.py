@@ -146,3 +146,54 @@ def residual_metrics(rows: DataFrame, by: list[str], *, segment: list[str], orde
         (F.sum((F.col("_r") - F.col("_q")) ** 2) / F.nullif(F.sum(F.col("_r") ** 2), F.lit(0.0))).alias("durbin_watson"),
     )
     return out
+
+
+def submodel(grams_: GroupGrams, keep: list[str]) -> GroupGrams:
+    """The Grams of a model with some of the columns: rows and columns are picked, no data is read again."""
+    at = [grams_.columns.index(c) for c in keep] + [len(grams_.columns), len(grams_.columns) + 1]
+    return GroupGrams(list(keep), grams_.groups, grams_.tables[:, at][:, :, at])
+
+
+def held_out_scores(grams_: GroupGrams, alpha: float, folds: int) -> dict[str, float]:
+    """R squared of each group under the model fitted without its fold."""
+    total = grams_.tables.sum(axis=0)
+    at = {g: i for i, g in enumerate(grams_.groups)}
+    out = {}
+    for fold in group_folds({g: grams_.tables[i, -2, -2] for g, i in at.items()}, folds):
+        model = fit_ridge(total - sum(grams_.tables[at[g]] for g in fold), alpha)
+        out |= {g: r_squared(grams_.tables[at[g]], *model) for g in fold}
+    return out
+
+
+def family_contributions(grams_: GroupGrams, families: dict[str, list[str]], *, alphas: tuple[float, ...] = (0.0, 0.1, 1.0, 10.0), folds: int = 5, confidence: float = 0.95) -> list[dict]:
+    """What each family of columns adds to held-out R squared: paired differences over groups with a t interval.
+
+    Both models choose their own strength; the folds are the same."""
+    from tracelight.operators.inference import interval
+
+    full = held_out_scores(grams_, choose_alpha(grams_, alphas, folds)[0], folds)
+    out = []
+    for family, columns in families.items():
+        unknown = set(columns) - set(grams_.columns)
+        if unknown or not columns:
+            raise ValueError(f"family {family!r} names no or unknown columns {sorted(unknown)}")
+        less = submodel(grams_, [c for c in grams_.columns if c not in columns])
+        reduced = held_out_scores(less, choose_alpha(less, alphas, folds)[0], folds)
+        gain = np.array([full[g] - reduced[g] for g in grams_.groups])
+        se = float(gain.std(ddof=1) / np.sqrt(len(gain)))
+        low, high, p = interval(float(gain.mean()), se, len(gain) - 1, confidence)
+        out.append({"family": family, "gain": float(gain.mean()), "low": low, "high": high, "p": p, "groups": len(gain)})
+    return out
+
+
+def run_models(grams_: GroupGrams, models: dict[str, list[str]], *, alphas: tuple[float, ...] = (0.0, 0.1, 1.0, 10.0), folds: int = 5) -> list[dict]:
+    """Named models over the same evidence: chosen strength and mean held-out R squared; a model that fails is kept with its reason."""
+    out = []
+    for name, columns in models.items():
+        try:
+            own = submodel(grams_, columns)
+            alpha, scores = choose_alpha(own, alphas, folds)
+            out.append({"model": name, "status": "success", "alpha": alpha, "score": scores[alpha], "reason": ""})
+        except Exception as error:  # kept in the ledger
+            out.append({"model": name, "status": "failed", "alpha": None, "score": None, "reason": f"{type(error).__name__}: {error}"[:300]})
+    return out

@@ -167,3 +167,22 @@ def interaction(cells: DataFrame, assignments: DataFrame, *, unit: str, conditio
     level = lambda x: F.avg(F.when(F.col(condition) == x, F.col("mean")))
     differences = cells.groupBy(unit, *by).agg((level(conditions[0]) - level(conditions[1])).alias("mean")).where("mean is not null")
     return welch_t(differences.join(assignments, unit), factor=group, numerator=groups[0], denominator=groups[1], by=by)
+
+
+def welch_power(animals: int, effects: tuple[float, ...], deviations: tuple[float, ...], *, alpha: float = 0.05) -> list[dict]:
+    """Power of two groups of ``animals`` each for every effect and deviation, by the noncentral t."""
+    from tracelight.kernels.student import noncentral_power
+
+    if animals < 2 or min(deviations) <= 0:
+        raise ValueError("two animals per group and positive deviations")
+    return [{"effect": e, "deviation": s, "power": noncentral_power(abs(e) / s * (animals / 2) ** 0.5, 2 * animals - 2, alpha)} for e in effects for s in deviations]
+
+
+def influence(cells: DataFrame, *, unit: str, factor: str, numerator: str, denominator: str) -> DataFrame:
+    """Difference of level means (``mean``) of independent units without each unit in turn."""
+    sums = cells.groupBy(factor).agg(F.sum("mean").alias("_s"), F.count("mean").alias("_n"))
+    wide = sums.agg(*[F.max(F.when(F.col(factor) == level, F.col(c))).alias(f"{c}{i}") for i, level in enumerate((numerator, denominator)) for c in ("_s", "_n")])
+    rows = cells.where(F.col(factor).isin(numerator, denominator)).crossJoin(F.broadcast(wide))  # one row
+    own = [F.when(F.col(factor) == level, 1).otherwise(0) for level in (numerator, denominator)]
+    a, b = ((F.col(f"_s{i}") - own[i] * F.col("mean")) / (F.col(f"_n{i}") - own[i]) for i in (0, 1))
+    return rows.where((F.col("_n0") > 1) & (F.col("_n1") > 1)).select(unit, factor, (a - b).alias("without"), (a - b - (F.col("_s0") / F.col("_n0") - F.col("_s1") / F.col("_n1"))).alias("shift"))

@@ -131,3 +131,23 @@ def annotations_from_aggregated(rows: DataFrame, *, subject: str, session: str,
     told = F.when(what == "POINT", "point").when(what == "STATE", "interval").otherwise(F.raise_error(F.concat(F.lit("unknown behaviour type: "), F.col(kind))).cast("string"))
     us = lambda c: F.round(F.col(c).cast("double") * 1e6).cast("long")
     return rows.select(F.lit(subject).alias("subject"), F.lit(session).alias("session"), F.trim(F.col(behavior)).alias("label"), told.alias("kind"), us(start).alias("start_us"), F.when(what == "STATE", us(stop)).alias("stop_us"))
+
+
+def load_aggregated(spark: SparkSession, path: str, *, subject: str, session: str, source_subject: str | None = None, source_observation: str | None = None) -> DataFrame:
+    """An aggregated behaviour export; a file with several subjects or observations needs a choice."""
+    rows = spark.read.option("header", True).option("sep", delimiter_of(path, None)).csv(path)
+    names = {c.strip().lower(): c for c in rows.columns}
+    pick = lambda *options: next((names[o] for o in options if o in names), None)
+    roles = {"behavior": pick("behavior", "behaviour"), "kind": pick("behavior type", "type"), "start": pick("start (s)", "start"), "stop": pick("stop (s)", "stop")}
+    lacking = [k for k, v in roles.items() if v is None]
+    if lacking:
+        raise ValueError(f"{path!r} has no columns for {lacking}")
+    for column, wanted in ((pick("subject"), source_subject), (pick("observation id", "observation"), source_observation)):
+        if column is None:
+            continue
+        if wanted is not None:
+            rows = rows.where(F.col(f"`{column}`") == wanted)
+        elif rows.select(f"`{column}`").distinct().limit(2).count() > 1:
+            raise ValueError(f"choose one of the column {column!r}")
+    plain = rows.select(*[F.col(f"`{v}`").alias(k) for k, v in roles.items()])
+    return annotations_from_aggregated(plain, subject=subject, session=session, behavior="behavior", kind="kind", start="start", stop="stop")
