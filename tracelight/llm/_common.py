@@ -16,10 +16,22 @@ NON_WS = r"[^\x20\x09-\x0D]"
 HOT_SHARE = 1000
 
 
+#: Rows of an Arrow batch: texts and packed sets are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at once, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the session names none (tests, local mode), a temporary one is made and recorded."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tracelight-")

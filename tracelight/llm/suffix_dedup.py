@@ -22,12 +22,12 @@ from tracelight.llm._common import discard, join_groups, materialize
 from tracelight.llm.suffix_order import InducedSort
 
 MATCH = 50
-GRAM = 16
+GRAM = 24
 #: Texts are handled in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 #: Bytes of text behind one bucket of anchor hashes, and behind one shard of regions.
 BUCKET_TEXT = 16 << 20
-SHARD_TEXT = 8 << 20
+SHARD_TEXT = 4 << 20
 #: Replies up to so many bytes are broadcast to the chunks; more meet them in a shuffled join.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of queues a shard keeps in memory; the rest is on disk.
@@ -45,9 +45,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _gram_hash(buffer: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of the GRAM bytes from every place, or from the given ones."""
     words = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
-    if at is None:
-        return _mix(_mix(words[: len(words) - 8].copy()) * _U(0x9E3779B97F4A7C15) + words[8:])
-    return _mix(_mix(words[at]) * _U(0x9E3779B97F4A7C15) + words[at + 8])
+    places = len(buffer) - GRAM + 1
+    h = None
+    for shift in range(0, GRAM, 8):
+        word = words[at + shift] if at is not None else words[shift : shift + places]
+        h = _mix(word if h is None else h * _U(0x9E3779B97F4A7C15) + word)
+    return h
 
 
 def anchors(text: bytes, sizes: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

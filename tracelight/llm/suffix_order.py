@@ -36,16 +36,27 @@ class Scratch:
         self.file.write(lcp.tobytes())
         return at, len(pos), pos.dtype
 
-    def get(self, kept, free: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, kept) -> tuple[np.ndarray, np.ndarray]:
         if len(kept) == 2:
-            if free:
-                self.used -= kept[0].nbytes + kept[1].nbytes
+            self.used -= kept[0].nbytes + kept[1].nbytes
             return kept
         at, n, kind = kept
         self.file.seek(at)
         raw = self.file.read(n * (kind.itemsize + 1))
         return np.frombuffer(raw, kind, n), np.frombuffer(raw, np.uint8, n, n * kind.itemsize)
 
+    def merged(self, queue: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What a queue holds and still gets while it is read, in blocks of BLOCK entries or what there is."""
+        done = 0
+        while done < len(queue):
+            parts, size = [], 0
+            while done < len(queue) and size < BLOCK:
+                parts.append(self.get(queue[done]))
+                queue[done] = None
+                size += len(parts[-1][0])
+                done += 1
+            yield (parts[0] if len(parts) == 1 else (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])))
+
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
@@ -53,7 +64,7 @@ class Scratch:
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of keys, equal for equal keys; how many there are."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     own = keys[order]
     step = np.empty(len(own), np.int64)
     step[0] = 0
@@ -107,7 +118,7 @@ class InducedSort:
         """S* positions in order, and the prefix each has in common with the one before."""
         rank = self._names()
         count, span = int(rank.max()) + 1 if len(rank) else 0, 1
-        while span < self.depth and count < len(rank):  # S* are two apart at least: 2 * span symbols are ordered
+        while 2 * span < self.depth and count < len(rank):  # S* are two apart at least: 2 * span symbols are ordered
             after = np.zeros(len(rank), np.int64)
             after[:-span] = rank[span:] + 1
             rank, count = _dense(rank * (count + 1) + after)
@@ -135,18 +146,19 @@ class InducedSort:
         """Blocks of (positions, prefix in common with the suffix given before), from the largest suffix to the smallest."""
         stars, star_lcp = self._star_order()
         bounds = np.searchsorted(self.t[stars], np.arange(self.symbols + 1))
+        queues: list[list] = [[] for _ in range(self.symbols)]
         large: list[list] = [[] for _ in range(self.symbols)]
-        sweep = _Sweep(self, large, rising=True)
+        sweep = _Sweep(self, queues, rising=True)
         for c in range(self.symbols):
             sweep.bucket()
-            done = 0
-            while done < len(large[c]):  # the queue grows by suffixes that repeat c
-                sweep.take(*self.scratch.get(large[c][done], free=False))
-                done += 1
+            for pos, lcp in self.scratch.merged(queues[c]):  # the queue grows by suffixes that repeat c
+                sweep.take(pos, lcp)
+                large[c].append(self.scratch.put(pos, lcp))
+            queues[c] = []
             s, e = bounds[c], bounds[c + 1]
             if e > s:
                 lcp = star_lcp[s:e].copy()
-                lcp[0] = self._common(sweep.last[None], stars[s : s + 1])[0] if done else 0
+                lcp[0] = self._common(sweep.last[None], stars[s : s + 1])[0] if large[c] else 0
                 for at in range(0, e - s, BLOCK):
                     sweep.take(stars[s + at : min(e, s + at + BLOCK)], lcp[at : at + BLOCK])
         del stars, star_lcp
@@ -154,14 +166,12 @@ class InducedSort:
         sweep = _Sweep(self, small, rising=False)
         for c in range(self.symbols - 1, -1, -1):
             sweep.bucket()
-            done = 0
-            while done < len(small[c]):
-                pos, lcp = self.scratch.get(small[c][done])
-                small[c][done] = None
+            above = None
+            for pos, lcp in self.scratch.merged(small[c]):
                 sweep.take(pos, lcp)
                 yield pos, lcp
-                done += 1
-            above = sweep.last if done else None
+                above = sweep.last
+            small[c] = []
             carried = None  # the prefix an entry has in common with the larger one after it
             for kept in reversed(large[c]):
                 pos, lcp = self.scratch.get(kept)
