@@ -103,6 +103,34 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies around the threshold: links between them, not only to the smallest, decide the components."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(110)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = collected(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id")
+    assert got == sorted(((i, find(i)) for i in range(len(rows))), key=repr)
+    assert 1 < len({find(i) for i in range(len(rows))}) < 60
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
@@ -126,10 +154,11 @@ def test_bands_find_pairs_at_the_threshold():
     assert missed == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [0, 1000])
+def test_components(spark, task_links):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 205), (205, 203)] + [(300, rng.randint(301, 320)) for _ in range(30)]
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), task_links=task_links).collect()))
     assert {got[i] for i in range(61)} == {0} and got[203] == 200 and got[300] == 300 and 100 not in got
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import join_groups, materialize
+from tracelight.llm._common import HOT_SHARE, join_groups, materialize
 from tracelight.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -151,6 +151,19 @@ def estimate(first: np.ndarray, second: np.ndarray, n_first: np.ndarray, n_secon
     return (low + high) / 2
 
 
+def reaches(first: np.ndarray, second: np.ndarray, n_first: np.ndarray, n_second: np.ndarray, floor: float = ESTIMATE_FLOOR) -> np.ndarray:
+    """Whether the estimate is at least ``floor``: as the likelihood is concave, whether it still rises there."""
+    plus, minus = (first > second).sum(axis=1), (first < second).sum(axis=1)
+    u = n_first / (n_first + n_second)
+    v = 1 - u
+    c, log_base = (BASE - 1) / BASE, np.log(BASE)
+    x, y = np.maximum(u - v * floor, 0), np.maximum(v - u * floor, 0)
+    a, b = np.maximum(-np.log1p(-x * c) / log_base, 1e-12), np.maximum(-np.log1p(-y * c) / log_base, 1e-12)
+    da, db = -v * c / (log_base * (1 - x * c)), -u * c / (log_base * (1 - y * c))
+    rise = plus * da / a + minus * db / b - (REGISTERS - plus - minus) * (da + db) / np.maximum(1 - a - b, 1e-12)
+    return (rise >= 0) & (np.minimum(u / v, v / u) >= floor)
+
+
 def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
@@ -160,8 +173,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, max(batch.num_rows, 1), 256):
+                part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1).to_pylist())
                 rows = sketch(sets)
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -191,7 +204,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             keep = np.zeros(0, bool)
             if batch.num_rows:
                 n1, n2 = (np.asarray(batch.column(i), dtype=float) for i in (3, 5))
-                keep = estimate(_registers(batch.column(2)), _registers(batch.column(4)), n1, n2) >= ESTIMATE_FLOOR
+                keep = reaches(_registers(batch.column(2)), _registers(batch.column(4)), n1, n2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     one = reps.select(F.col("id").alias("a"), F.col("registers").alias("_ra"), F.col("n").alias("_na"))
@@ -199,9 +212,9 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "_ra", "_na", "_rb", "_nb").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold; texts are read again for the ids in question only."""
-    ids = materialize(pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct(), "near-ids")
+def _full_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and packed shingle set of the ids in column ``_w``; texts are read again for these only."""
+    ids = materialize(ids.distinct(), "near-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("_text"))
     texts = source.join(wanted, source["id"] == ids["_w"], "left_semi")
@@ -213,90 +226,170 @@ def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, perce
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], names=["id", "set"])
 
+    return materialize(texts.mapInArrow(sets, schema), "near-sets")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test on sorted distinct hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold."""
+    full = _full_sets(pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))), df, id_col, text_col)
+
     def check(batches):
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            keep = [_alike(x, y, percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = materialize(texts.mapInArrow(sets, schema), "near-sets")
     one, two = full.select(F.col("id").alias("a"), F.col("set").alias("_sa")), full.select(F.col("id").alias("b"), F.col("set").alias("_sb"))
     # one row per id on the right: a hot id piles up rows on the pair side only, which AQE splits
     return pairs.join(one, "a").join(two, "b").select("a", "b", "_sa", "_sb").mapInArrow(check, pairs.select("a", "b").schema)
 
 
-def _unsettled_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different components and likely similar.
+def _open_buckets(members: DataFrame, components: DataFrame, reps: DataFrame, total: int) -> DataFrame:
+    """Members of buckets that hold two components: key, id, component, registers, n, count."""
+    placed = members.select("key", "id", "count").join(components.withColumnRenamed("node", "id"), "id", "left")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "id")), "near-placed")
+    total *= REGISTERS // BAND_ROWS
+    split = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("_open"), F.count("*").alias("_n"))
+    split = split.where(F.col("_open") | (F.col("_n") * HOT_SHARE >= F.lit(total)))
+    found = join_groups(placed, split, ["key"], "_n", total, F.col("id")).where("_open").drop("_n", "_open")
+    return materialize(found.join(reps, "id").select("key", "id", "component", "registers", "n", "count"), "near-open")
 
-    members: key, id, component, registers, n, count. A bucket larger than BLOCK is dealt by id into
-    blocks, and each two blocks meet in a task of their own; smaller buckets are one block."""
+
+def _dealt(members: DataFrame, *more: str) -> DataFrame:
+    """Bucket members for tasks that compare them: a bucket larger than BLOCK is dealt by id into blocks, and each
+    two blocks meet in a group of their own; a smaller bucket is one group."""
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = members.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", other)
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "id", "component", "registers", "n")
-    dealt = dealt.repartition(F.col("key"), F.col("_x"), F.col("_y")).sortWithinPartitions("key", "_x", "_y", "id")
-    id_field = members.schema["id"]
-    schema = T.StructType([T.StructField("a", id_field.dataType), T.StructField("b", id_field.dataType)])
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "id", "component", "registers", "n", *more)
+    return dealt.repartition(F.col("key"), F.col("_x"), F.col("_y")).sortWithinPartitions("key", "_x", "_y", "id")
+
+
+def _whole_groups(batches):
+    """Tables of (key, _x, _y, ...) rows cut where groups end."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = _group_keys(table)
+        changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+        if len(changes):
+            last = int(changes[-1]) + 1
+            yield table.slice(0, last)
+            table = table.slice(last)
+        held = table
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _group_keys(table) -> np.ndarray:
+    return np.stack([np.asarray(table.column(i), dtype=np.int64) for i in (0, 1, 2)], axis=1)
+
+
+def _likely_in_groups(table):
+    """Arrays (i, j, equal registers, group) of row pairs of one group and two components whose estimate reaches the floor.
+
+    A pair that shares several bands is taken in the first of them only."""
+    keys = _group_keys(table)
+    group = np.cumsum(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) - 1
+    own, n = np.asarray(table.column(3)), np.asarray(table.column(7), dtype=float)
+    names: dict = {}
+    part = np.array([names.setdefault(c, len(names)) for c in table.column(5).to_pylist()])
+    registers = _registers(table.column(6))
+    bands = band_keys(registers)
+    crossed = keys[:, 1] != keys[:, 2]
+    for d in range(1, len(group)):
+        i = np.flatnonzero(group[:-d] == group[d:])
+        if not len(i):
+            break
+        j = i + d
+        # two different blocks meet for the pairs across them; those inside are another group's
+        apart = (part[i] != part[j]) & ~(crossed[i] & (own[i] == own[j]))
+        i, j = i[apart], j[apart]
+        for at in range(0, len(i), 20_000):
+            a, b = i[at : at + 20_000], j[at : at + 20_000]
+            same = bands[a] == bands[b]
+            first = bands[a, same.argmax(axis=1)] == keys[a, 0]
+            a, b = a[first], b[first]
+            keep = reaches(registers[a], registers[b], n[a], n[b])
+            if keep.any():
+                a, b = a[keep], b[keep]
+                yield a, b, (registers[a] == registers[b]).sum(axis=1), group[a]
+
+
+def _best_partners(open_: DataFrame) -> DataFrame:
+    """Per member of an open bucket, the likely one of another component that shares most registers: at most a pair each."""
+    kind = open_.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("equal", T.LongType())])
 
     def run(batches):
-        held = None
-
-        def compare(table):
-            """All groups of a table that ends where a group ends."""
-            keys = np.stack([np.asarray(table.column(i), dtype=np.int64) for i in (0, 1, 2)], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            starts = np.concatenate([[0], cuts, [len(keys)]])
-            own, component = np.asarray(table.column(3)), table.column(5).to_pylist()
-            names = {c: i for i, c in enumerate(dict.fromkeys(component))}
-            part = np.array([names[c] for c in component])
-            registers, n = _registers(table.column(6)), np.asarray(table.column(7), dtype=float)
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s < 2 or (part[s:e] == part[s]).all():
-                    continue
-                x, y = keys[s, 1], keys[s, 2]
-                left = np.flatnonzero(own[s:e] == x) + s
-                right = left if x == y else np.flatnonzero(own[s:e] == y) + s
-                for i in left:
-                    j = right[(part[right] != part[i]) & ((right > i) if x == y else True)]
-                    if len(j):
-                        likely = estimate(np.broadcast_to(registers[i], (len(j), REGISTERS)), registers[j], np.full(len(j), n[i]), n[j]) >= ESTIMATE_FLOOR
-                        for k in j[likely].tolist():
-                            yield int(i), k
-
-        def pairs(table):
-            found = list(compare(table))
-            ids = table.column(4)
-            a, b = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([ids.take(a).combine_chunks(), ids.take(b).combine_chunks()], schema=out_schema) if found else None
-
-        out_schema = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if out_schema is None:
-                kind = batch.schema.field(4).type
-                out_schema = pa.schema([("a", kind), ("b", kind)])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            keys = np.stack([np.asarray(table.column(i), dtype=np.int64) for i in (0, 1, 2)], axis=1)
-            changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-            if len(changes):
-                last = int(changes[-1]) + 1
-                out, held = pairs(table.slice(0, last)), table.slice(last)
-                if out is not None:
-                    yield out
-            else:
-                held = table
-        if held is not None and held.num_rows:
-            out = pairs(held)
-            if out is not None:
-                yield out
-
-    found = dealt.mapInArrow(run, schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for table in _whole_groups(batches):
+            best: dict[int, tuple[int, int]] = {}
+            for a, b, equal, _ in _likely_in_groups(table):
+                for x, y, e in zip(a.tolist(), b.tolist(), equal.tolist()):
+                    for p, q in ((x, y), (y, x)):
+                        if best.get(p, (-1, 0))[0] < e:
+                            best[p] = (e, q)
+            ids = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(list(best), pa.int64())), ids.take(pa.array([q for _, q in best.values()], pa.int64())), pa.array([e for e, _ in best.values()], pa.int64())], names=["a", "b", "equal"])
+
+    found = _dealt(open_).mapInArrow(run, schema)
+    best = found.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _involved(open_: DataFrame) -> DataFrame:
+    """Rows of open buckets that are in a likely pair there."""
+    kind = open_.schema["id"].dataType
+
+    def run(batches):
+        for table in _whole_groups(batches):
+            rows = [x for a, b, _, _ in _likely_in_groups(table) for x in (a, b)]
+            at = pa.array(np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(at), table.column(4).combine_chunks().take(at)], names=["key", "id"])
+
+    found = _dealt(open_).mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])).distinct()
+    return open_.join(found, ["key", "id"], "left_semi")
+
+
+def _settling_links(involved: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the rows of each bucket, by full sets: every likely pair is tested unless the
+    bucket's earlier links have joined the two components, so there are fewer links than components."""
+    kind = involved.schema["id"].dataType
+
+    def run(batches):
+        for table in _whole_groups(batches):
+            full = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()]
+            names = table.column(5).to_pylist()
+            root: dict = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+
+            found = []
+            for a, b, _, group in _likely_in_groups(table):
+                for i, j, g in zip(a.tolist(), b.tolist(), group.tolist()):
+                    x, y = find((g, names[i])), find((g, names[j]))
+                    if x != y and _alike(full[i], full[j], percent):
+                        root[x] = y
+                        found.append((i, j))
+            ids = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+    dealt = _dealt(involved.join(sets, "id"), "set")
+    return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -304,10 +397,11 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of equal shingle sets form a class first, and only the class's smallest id goes on. Sketch
     bands put likely pairs into buckets. Each class is first paired with the one centre (smallest id
-    of a bucket) that it shares most bands with; verified links give components. Buckets that still
-    hold two components are then gone through in full, for pairs across components: those whose
-    likelihood estimate allows it are verified as well. So no bucket gives all its pairs, and no link
-    between texts in different components is passed over.
+    of a bucket) that it shares most bands with, then, across the components that verified links give,
+    with the likeliest partner in its buckets. What is left of buckets with two components is gone
+    through in full where their members meet: every pair across components whose likelihood estimate
+    allows it is tested on full sets, unless it is joined by then. So no task writes a bucket's pairs,
+    and no link that would join two components is passed over.
 
     Null and empty texts have no shingles and are components of their own, kept. Rows repeated with
     one id share a component; all of them are kept if that id is its smallest. Rows with a null id
@@ -331,16 +425,18 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = materialize(_verified(pairs, df, id_col, text_col, percent), "near-links")
     components = materialize(connected_components(links), "near-components")
 
-    placed = members.select("key", "id", "count").join(components.withColumnRenamed("node", "id"), "id", "left")
-    placed = materialize(placed.withColumn("component", F.coalesce("component", "id")), "near-placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where("_low <> _high").select("key", "_n")
-    open_ = join_groups(placed, split, ["key"], "_n", total * (REGISTERS // BAND_ROWS), F.col("id")).where("_n is not null").drop("_n")
-    more = materialize(_unsettled_pairs(open_.join(reps, "id").select("key", "id", "component", "registers", "n", "count")), "near-pairs")
-    more_links = materialize(_verified(more, df, id_col, text_col, percent), "near-links")
-    if more_links.count():
-        components = materialize(connected_components(links.unionByName(more_links)), "near-components")
+    best = materialize(_best_partners(_open_buckets(members, components, reps, total)), "near-pairs")
+    links = materialize(links.unionByName(_verified(best, df, id_col, text_col, percent)), "near-links")
+    components = materialize(connected_components(links), "near-components")
+
+    involved = materialize(_involved(_open_buckets(members, components, reps, total)), "near-involved")
+    sets = _full_sets(involved.select(F.col("id").alias("_w")), df, id_col, text_col)
+    links = materialize(links.unionByName(_settling_links(involved, sets, percent)), "near-links")
+    components = materialize(connected_components(links), "near-components")
+
     sizes = reps_of.where("rep is not null").groupBy("rep").agg(F.count("*").alias("_n"))
-    roots = components.join(sizes, components["node"] == sizes["rep"]).select("rep", F.col("component").alias("_component"), "_n")
+    roots = sizes.join(components, sizes["rep"] == components["node"], "left").select("rep", F.col("component").alias("_component"), "_n")
+    roots = roots.where(F.col("_component").isNotNull() | (F.col("_n") * HOT_SHARE >= F.lit(total)))
     out = join_groups(reps_of, roots, ["rep"], "_n", total, F.col("id"))
     component = F.coalesce("_component", "rep")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
