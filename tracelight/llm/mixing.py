@@ -169,14 +169,15 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     if stats["sources"] * (1 << levels) <= 100_000:  # a proven bound: sources times shards
         plan = F.broadcast(plan)
 
-    hashed = F.xxhash64(F.lit(seed), F.col("_id"))
-    placed = rows.withColumn("_hash", hashed).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("_upto", F.sum("size").over(inside))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_at", F.col("_base") + F.col("_upto") - F.col("size")).drop("_s", "_b", "_base", "_upto", "_hash", "_bucket")
+    # one key that is never null, so that the window and the join after it share one partitioning of the rows
+    key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    placed = rows.withColumn("_key", key).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
+    sums = placed.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_key", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_upto", F.sum("size").over(inside)).join(sums, ["_key", "_bucket"])
+    placed = placed.withColumn("_at", F.col("_base") + F.col("_upto") - F.col("size")).drop("_key", "_bucket", "_base", "_upto", "_hash")
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     first_block, last_block = F.floor(F.col("_at") / F.col("block")).cast("long"), F.floor((F.col("_at") + F.col("size") - 1) / F.col("block")).cast("long")
