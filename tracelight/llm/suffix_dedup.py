@@ -24,14 +24,14 @@ from tracelight.llm.suffix_order import InducedSort
 MATCH = 50
 GRAM = 24
 #: Texts are handled in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of text behind one bucket of anchor hashes, and behind one shard of regions.
 BUCKET_TEXT = 16 << 20
-SHARD_TEXT = 4 << 20
+SHARD_TEXT = 2 << 20
 #: Replies up to so many bytes are broadcast to the chunks; more meet them in a shuffled join.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of queues a shard keeps in memory; the rest is on disk.
-MEMORY = 96 << 20
+MEMORY = 48 << 20
 PIECE = 1 << 16
 
 _U = np.uint64
@@ -98,13 +98,13 @@ CHUNK = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids",
 
 
 def _chunks(batches):
-    """Documents put together, sorted by id within a chunk."""
+    """Documents put together, sorted by id within a chunk, and compressed: chunks are moved again for their replies."""
     part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def flush():
         nonlocal serial, held, size
         held.sort(key=lambda x: x[0])
-        row = ((part << 32) + serial, np.array([x[0] for x in held], "<i8").tobytes(), np.array([len(x[1]) for x in held], "<i8").tobytes(), b"".join([x[1] for x in held]))
+        row = ((part << 32) + serial, np.array([x[0] for x in held], "<i8").tobytes(), np.array([len(x[1]) for x in held], "<i8").tobytes(), zstandard.ZstdCompressor(level=1).compress(b"".join([x[1] for x in held])))
         serial, held, size = serial + 1, [], 0
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=CHUNK.fieldNames())
 
@@ -123,7 +123,8 @@ def _chunks(batches):
 def _chunk_rows(batch):
     for at in range(batch.num_rows):
         chunk, ids, sizes, text, *more = (c[at].as_py() for c in batch.columns)
-        yield chunk, np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), text, *more
+        sizes = np.frombuffer(sizes, "<i8")
+        yield chunk, np.frombuffer(ids, "<i8"), sizes, zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, int(sizes.sum()))), *more
 
 
 def _places(document: np.ndarray, keys: np.ndarray, buckets: int):
@@ -361,17 +362,15 @@ def _results(match: int):
 
 
 def _with_replies(chunks: DataFrame, replies: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """Chunks with the replies to them (and rows of their own) in lists."""
-    size = replies.agg(F.coalesce(F.sum(F.length("reply") + 64), F.lit(0))).first()[0]
+    """Chunks with the replies to them (and rows of their own) in lists.
+
+    Replies of a bit per anchor are broadcast if they are few; with rows of their own the chunks are shuffled."""
     grouped = replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "reply")).alias("reply"))
-    out = chunks
     if more is not None:
-        size += more.agg(F.coalesce(F.sum(F.length("data") + 64), F.lit(0))).first()[0]
         own = more.groupBy("chunk").agg(F.collect_list(F.struct("n", "data")).alias("own"))
-        grouped = own.join(grouped, "chunk", "left").select("chunk", "own", "reply")
-    if size <= BROADCAST_BYTES:
-        grouped = F.broadcast(grouped)
-    return out.join(grouped, "chunk", "left")
+        return chunks.join(own.join(grouped, "chunk", "left").select("chunk", "own", "reply").hint("merge"), "chunk", "left")
+    size = replies.agg(F.coalesce(F.sum(F.length("reply") + 64), F.lit(0))).first()[0]
+    return chunks.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "chunk", "left")
 
 
 def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, memory: int = MEMORY) -> DataFrame:
