@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelight.llm._common import small_batches
+
 UNDETERMINED = "und"
 
 #: Bound of the sample: about so many labelled documents a language, and so many bytes of slices of them.
@@ -87,6 +89,7 @@ def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
     so is ``und``: null texts, texts without a letter, and all texts if nothing was learned. Each
     row is judged alone; all columns of the input are passed through, and nothing is shuffled.
     A column of the input with one of the added names is replaced."""
+    small_batches(df.sparkSession)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     names = {f.name for f in added}
     source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelight.llm._common import small_batches
 from tracelight.llm.bpe import prefix_counts
 
 
@@ -20,6 +21,7 @@ def token_prefix_index(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     or a budget is answered from it without encoding again (``tokens_at``, ``longest_within``).
     Null and empty texts have no steps and 0 tokens; each row is handled alone, so repeated rows and
     null ids come out as they went in, and further columns are ignored. No shuffle."""
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("prefix_steps", T.BinaryType())])
 
