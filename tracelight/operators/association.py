@@ -43,7 +43,7 @@ def lagged_association(samples: DataFrame, keys=RECORDING, *, first: str = "sign
 def assess_crosstalk(lags: DataFrame, keys=RECORDING, *, interval_s: float, high: float = 0.8, near_zero_s: float = 0.1) -> DataFrame:
     """Flags from a lag curve: zero-lag size, and whether the largest size lies near lag zero."""
     size = F.round(F.abs("correlation"), 9)
-    out = lags.groupBy(*keys).agg(F.max(F.when(F.col("lag") == 0, F.col("correlation"))).alias("zero_lag"), F.max_by("lag", F.struct(size.alias("r"), (-F.abs("lag")).alias("d"), (-F.col("lag")).alias("k"))).alias("peak_lag"))
+    out = lags.where(F.col("correlation").isNotNull()).groupBy(*keys).agg(F.max(F.when(F.col("lag") == 0, F.col("correlation"))).alias("zero_lag"), F.max_by("lag", F.struct(size.alias("r"), (-F.abs("lag")).alias("d"), (-F.col("lag")).alias("k"))).alias("peak_lag"))
     return out.withColumn("high_zero_lag", F.coalesce(F.abs("zero_lag") >= high, F.lit(False))).withColumn("near_zero_peak", F.abs(F.col("peak_lag") * interval_s) <= near_zero_s)
 
 

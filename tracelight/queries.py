@@ -369,8 +369,8 @@ def autocorrelation(spark, d):
     return out.withColumn("autocorrelation", r6(F.col("autocorrelation")))
 
 
-@query(LAGS + """, q as (select a.subject, l as lag, sum(a.x * b.y) / sqrt(sum(a.x * a.x) * sum(b.y * b.y)) as r from (select *, unnest(range(-5, 6)) as l from c) a join c b on a.subject = b.subject and a.run_id = b.run_id and b.i = a.i + l group by all)
-select subject, round(max(case when lag = 0 then r end), 6) as zero_lag, arg_max(lag, (round(abs(r), 9), -abs(lag), -lag)) as peak_lag, coalesce(abs(max(case when lag = 0 then r end)) >= 0.8, false) as high_zero_lag, abs(arg_max(lag, (round(abs(r), 9), -abs(lag), -lag)) * 0.05) <= 0.1 as near_zero_peak from q group by all""", "samples")
+@query(LAGS + """, q as (select a.subject, l as lag, case when count(*) >= 10 then sum(a.x * b.y) / sqrt(sum(a.x * a.x) * sum(b.y * b.y)) end as r from (select *, unnest(range(-5, 6)) as l from c) a join c b on a.subject = b.subject and a.run_id = b.run_id and b.i = a.i + l group by all)
+select subject, round(max(case when lag = 0 then r end), 6) as zero_lag, arg_max(lag, (round(abs(r), 9), -abs(lag), -lag)) as peak_lag, coalesce(abs(max(case when lag = 0 then r end)) >= 0.8, false) as high_zero_lag, abs(arg_max(lag, (round(abs(r), 9), -abs(lag), -lag)) * 0.05) <= 0.1 as near_zero_peak from q where r is not null group by all""", "samples")
 def crosstalk(spark, d):
     lags = association.lagged_association(views.samples(spark, d), ("subject",), max_lag=5, gap_factor=None, max_gap_s=4 * HOUR)
     return association.assess_crosstalk(lags, ("subject",), interval_s=0.05).withColumn("zero_lag", r6(F.col("zero_lag")))
