@@ -143,7 +143,7 @@ class PrefixCounts:
             vocab = json.load(f)["model"]["vocab"]
         for shown, token in vocab.items():
             if shown not in special:
-                raw = "".join(chr(alphabet[c]) for c in shown)
+                raw = "".join([chr(alphabet[c]) for c in shown])
                 self.text_of[token] = shown
                 self.trie.add_word(raw, (token, len(raw)))
         self.trie.make_automaton()
@@ -154,7 +154,7 @@ class PrefixCounts:
 
     def _stand(self, before: int, token: int) -> bool:
         """Whether ``token`` may follow ``before`` (-1: may stand alone) in an encoding."""
-        key = (before, token)
+        key = (before << 17) + token
         ok = self.pairs.get(key)
         if ok is None:
             want = [token] if before < 0 else [before, token]
@@ -164,65 +164,76 @@ class PrefixCounts:
                 self.pairs = {key: ok}
         return ok
 
-    def pretoken(self, piece: str) -> list[int]:
-        """Token counts of the prefixes of 1, 2, ... characters of one pretoken."""
-        counts = self.pretokens.get(piece)
-        if counts is not None:
-            return counts
-        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+    def _counts(self, raw: str) -> list[int]:
+        """Counts of the prefixes of 0, 1, ... bytes, in one pass over the entries that end at each byte."""
         size = len(raw)
         last, count = [-1] * (size + 1), [0] * (size + 1)
-        pairs, stand = self.pairs, self._stand
+        pairs = self.pairs
         for at, (token, length) in self.trie.iter(raw):
             end = at + 1
             if last[end] >= 0:
                 continue
             start = end - length
             before = last[start]
-            if start and before < 0:
+            if before < 0 and start:
                 continue
-            ok = pairs.get((before, token))
+            ok = pairs.get((before << 17) + token)
             if ok is None:
-                ok = stand(before, token)
+                ok = self._stand(before, token)
             if ok:
                 last[end], count[end] = token, count[start] + 1
-        if size == len(piece):
-            counts = count[1:]
-        else:
-            ends, at = [], 0
+        return count
+
+    def pretoken(self, piece: str) -> tuple[bytes, int]:
+        """Of one pretoken: signed 8-bit steps of the count over its characters, and the count of all of it."""
+        found = self.pretokens.get(piece)
+        if found is not None:
+            return found
+        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        size = len(raw)
+        count = self._counts(raw)
+        total = count[size]
+        if size != len(piece):
+            counts, at = [0], 0
             for c in piece:
                 at += len(c.encode("utf-8", "surrogatepass"))
-                ends.append(at)
-            counts = [count[e] for e in ends]
+                counts.append(count[at])
+            count = counts
+        found = bytes([b - a & 255 for a, b in zip(count, count[1:])]), total
         if size <= CACHE_CHARS:
             if len(self.pretokens) >= self.entries:
                 self.pretokens = {}
-            self.pretokens[piece] = counts
-        return counts
+            self.pretokens[piece] = found
+        return found
 
     def _total(self, text: str) -> int:
-        return sum(self.pretoken(p)[-1] for p in self.find(text))
+        return sum([self.pretoken(p)[1] for p in self.find(text)])
 
     def unit(self, text: str) -> bytes:
         """Signed 8-bit steps of the count over the characters of a stretch that no pretoken leaves.
 
         A cut can change how the last pretokens are told apart: white space before it is one run, and
         a contraction is none yet. Those prefixes are told apart anew."""
-        out, base, before = [], 0, ""
-        for piece in self.find(text):
-            own = self.pretoken(piece)
-            if before and self.is_space(before):
-                root = base - self.pretoken(before)[-1]
-                out += [root + self._total(before + piece[:j]) for j in range(1, len(piece) + 1)]
-            elif piece in CONTRACTIONS:
-                out += [base + self._total(piece[:j]) for j in range(1, len(piece) + 1)]
+        pieces = self.find(text)
+        core = text.removeprefix(" ")
+        if "'" not in text and (core.split(None, 1) == [core] or not any(map(self.is_space, pieces[:-1]))):
+            return b"".join([self.pretoken(p)[0] for p in pieces])
+        steps, now, base, before = [], 0, 0, ""
+        for piece in pieces:
+            own, total = self.pretoken(piece)
+            root, lead = (base - self.pretoken(before)[1], before) if before and self.is_space(before) else (base, "")
+            if lead or piece in CONTRACTIONS:
+                for j in range(1, len(piece) + 1):
+                    count = root + self._total(lead + piece[:j])
+                    steps.append(count - now & 255)
+                    now = count
             else:
-                out += [base + c for c in own] if base else own
-            base += own[-1]
+                first = own[0] + base - now
+                steps += [first & 255, *own[1:]]
+                now = base + total
+            base += total
             before = piece
-        # the last step leads on to the whole count, which a white space run at the end may change
-        steps = np.diff(np.array([0, *out], dtype=np.int64)).astype(np.int8).tobytes()
-        return steps
+        return bytes(steps)
 
     def _plain(self, text: str) -> list[bytes]:
         first, *rest = self.split(text)
