@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ BLOCK_BYTES = 4096
 LEVEL = 6
 #: Relative margins below this are rejected.
 MIN_MARGIN = 0.01
+#: Equal sizes are settled by code lengths under contexts of up to so many bytes.
+CONTEXT_BYTES = 3
 
 
 @dataclass(frozen=True)
@@ -80,13 +84,51 @@ class Coder:
         return {lang: sum([len(code(b)) for b in blocks]) for lang, code in self.coders.items()}
 
 
+class ContextCoder:
+    """Ideal code lengths in bits of a text under byte contexts counted in each language's dictionary.
+
+    The probability of a byte blends all contexts up to ``order`` bytes, each weighted against the
+    next shorter by the number of bytes seen after it (Witten and Bell's escape). Unlike compressed
+    sizes, the lengths are not whole bytes, so texts of a few words have a measurable margin."""
+
+    def __init__(self, model: LanguageModel, order: int = CONTEXT_BYTES):
+        self.order, self.dictionaries, self.tables = order, model.dictionaries, {}
+
+    def _table(self, lang: str):
+        """Counts of strings of up to order + 1 bytes, and per context its occurrences and distinct next bytes."""
+        if lang not in self.tables:
+            content = self.dictionaries[lang]
+            counts = Counter(content[i : i + n] for n in range(1, self.order + 2) for i in range(len(content) - n + 1))
+            contexts = {}
+            for found, n in counts.items():
+                seen, kinds = contexts.get(found[:-1], (0, 0))
+                contexts[found[:-1]] = (seen + n, kinds + 1)
+            self.tables[lang] = counts, contexts
+        return self.tables[lang]
+
+    def bits(self, text: str, lang: str) -> float:
+        counts, contexts = self._table(lang)
+        raw, total = b" " + _prepared(text), 0.0
+        for i in range(1, len(raw)):
+            p = 1 / 256
+            for n in range(min(self.order, i) + 1):
+                context = contexts.get(raw[i - n : i])
+                if context is None:
+                    break
+                p = (counts.get(raw[i - n : i + 1], 0) + context[1] * p) / (context[0] + context[1])
+            total -= math.log2(p)
+        return total
+
+
 def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """Input rows with ``lang_pred``, ``score``, ``margin`` and ``rejected`` added.
 
-    The whole text is compressed in blocks under each dictionary; the smallest total wins, the
-    alphabetically first of equals. ``margin`` is the part by which the runner-up is larger,
-    ``score`` rises with it from 0.5 to 1. Narrow margins (below ``min_margin``) are rejected, and
-    so is ``und``: null texts, texts without a letter, and all texts if nothing was learned. Each
+    The whole text is compressed in blocks under each dictionary; the smallest total wins. Languages
+    that tie for it in whole bytes are told apart by ``ContextCoder``. ``margin`` is the part by which
+    the runner-up is larger, of the sizes or, after a tie, of the code lengths; ``score`` rises with it
+    from 0.5 to 1. Narrow margins (below ``min_margin``) are rejected, but not those of tied texts so
+    short that a byte is more than ``min_margin`` of their size: equal sizes say nothing of them. Also
+    rejected is ``und``: null texts, texts without a letter, and all texts if nothing was learned. Each
     row is judged alone; all columns of the input are passed through, and nothing is shuffled.
     A column of the input with one of the added names is replaced."""
     small_batches(df.sparkSession)
@@ -97,21 +139,26 @@ def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
     at = source.columns.index(text_col)
 
     def run(batches):
-        coder = Coder(model)
+        coder, finer = Coder(model), ContextCoder(model)
         for batch in batches:
             for start in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(start, 512)
                 langs, scores, margins, rejected = [], [], [], []
                 for text in part.column(at).to_pylist():
-                    lang, margin = UNDETERMINED, 0.0
+                    lang, margin, measured = UNDETERMINED, 0.0, True
                     if text and coder.coders and any(c.isalpha() for c in text):
                         ranked = sorted((n, name) for name, n in coder.sizes(text).items())
                         lang = ranked[0][1]
                         margin = 1.0 if len(ranked) == 1 else (ranked[1][0] - ranked[0][0]) / ranked[1][0]
+                        if margin == 0:
+                            measured = ranked[0][0] * min_margin >= 1
+                            ranked = sorted((finer.bits(text, name), name) for n, name in ranked if n == ranked[0][0])
+                            lang = ranked[0][1]
+                            margin = (ranked[1][0] - ranked[0][0]) / ranked[1][0]
                     langs.append(lang)
                     margins.append(margin)
                     scores.append(0.0 if lang == UNDETERMINED else 1 - 0.5 * 2 ** (-margin / min_margin))
-                    rejected.append(lang == UNDETERMINED or margin < min_margin)
+                    rejected.append(lang == UNDETERMINED or (measured and margin < min_margin))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
