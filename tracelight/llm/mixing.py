@@ -139,7 +139,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     blocks of that sequence up to its quota, the last one cut where the target ends. ``draws`` lists
     what is taken of the document: round, shard, place (order by it within a shard), first word and
     words. Quotas are dealt to the shards by ``split_quotas``; as a shard's range of a source's
-    permuted blocks is its own, shards share no draw.
+    permuted blocks is its own, shards share no draw. The column's metadata has the number of ``shards``.
 
     Null texts and texts without words have size 0 and no draws; a null source is a source, the last.
     Rows repeated with one id follow each other in the stretch. Cumulated sizes come from a two-level
@@ -200,25 +200,28 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
         return F.struct(t["round"].alias("round"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), F.col("source"), t["turn"]).alias("place"), (start - F.col("_at")).alias("first_word"), F.greatest(stop - start, F.lit(0)).cast("long").alias("words"))
 
     draws = F.filter(F.transform(turns, taken), lambda d: d["words"] > 0)
-    return placed.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", draws.alias("draws"), *(["row"] if carry else []))
+    return placed.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", draws.alias("draws", metadata={"shards": 1 << levels}), *(["row"] if carry else []))
 
 
 def taken_words(draws: Column) -> Column:
     return F.aggregate(draws, F.lit(0).cast("long"), lambda a, d: a + d["words"])
 
 
-def drawn_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mix as rows of the carried columns: one per round and stretch of words drawn of a document.
+def drawn_rows(mixed: DataFrame, text_col: str = "text", *, id_col: str = "doc_id") -> DataFrame:
+    """The mix as rows of the carried columns: one per round, shard and stretch of words drawn of a document.
 
-    A stretch that is the whole document keeps its text as it is; others are its words with the white
-    space after each. A carried ``n_chars`` becomes the length of the new text."""
-    kind = "array<struct<round:bigint,first:bigint,words:bigint>>"
+    Partition k holds shard k, its rows ordered by place, so that blocks of all sources alternate as
+    drawn; a block's documents stay in their stretch's order by hash. Neighbouring blocks of a document are one
+    row, at the first one's place, if round and shard are the same. A stretch that is the whole document keeps its text as
+    it is; others are its words with the white space after each. A carried ``n_chars`` becomes the
+    length of the new text."""
+    kind = "array<struct<round:bigint,shard:bigint,place:bigint,first:bigint,words:bigint>>"
 
     def add(a, d):
-        new = F.struct(d["round"].alias("round"), d["first_word"].cast("long").alias("first"), d["words"].alias("words"))
+        new = F.struct(d["round"].alias("round"), d["shard"].cast("long").alias("shard"), d["place"].alias("place"), d["first_word"].cast("long").alias("first"), d["words"].alias("words"))
         last = F.try_element_at(a, F.lit(-1))
-        grown = F.struct(last["round"].alias("round"), last["first"].alias("first"), (last["words"] + d["words"]).alias("words"))
-        follows = (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["round"] == d["round"]) & (F.try_element_at(a, F.lit(-1))["first"] + F.try_element_at(a, F.lit(-1))["words"] == d["first_word"])
+        grown = F.struct(*[last[c].alias(c) for c in ("round", "shard", "place", "first")], (last["words"] + d["words"]).alias("words"))
+        follows = (F.size(a) > 0) & (last["round"] == d["round"]) & (last["shard"] == d["shard"]) & (last["first"] + last["words"] == d["first_word"])
         return F.when(follows, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(grown))).otherwise(F.concat(a, F.array(new)))
 
     stretches = F.aggregate("draws", F.array().cast(kind), add)
@@ -230,4 +233,7 @@ def drawn_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("_new", new)
     names = [f.name for f in mixed.schema["row"].dataType.fields]
     made = {text_col: F.col("_new"), "n_chars": F.length("_new").cast(dict((f.name, f.dataType) for f in mixed.schema["row"].dataType.fields).get("n_chars", "long"))}
-    return rows.select(*[made.get(n, F.col("row")[n]).alias(n) for n in names])
+    rows = rows.select(F.col("_s.shard").cast("int").alias("_shard"), F.col("_s.place").alias("_place"), F.col(id_col).alias("_id"), F.col("_s.first").alias("_first"), F.struct(*[made.get(n, F.col("row")[n]).alias(n) for n in names]).alias("_row"))
+    # a shard is a partition by its number: hashing would pile some shards onto one task
+    rows = rows.repartitionById(mixed.schema["draws"].metadata["shards"], "_shard").sortWithinPartitions("_place", F.xxhash64("_id"), "_id", "_first")
+    return rows.select("_row.*")

@@ -55,7 +55,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken_words(F.col("draws")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken_words(F.col("draws")).alias("taken"), "draws")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
