@@ -20,8 +20,8 @@ REGISTERS = 128
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
 #: Registers of a band. 32 bands of 4 miss a pair of similarity 0.75 about five times in a million.
 BAND_ROWS = 4
-#: Estimates below are not verified: 0.6 is four to five deviations of the estimate under 0.75.
-ESTIMATE_FLOOR = 0.6
+#: Estimates below are not verified: 0.5 is over six deviations of the estimate under 0.75 and loses a pair of that similarity once in 1e9.
+ESTIMATE_FLOOR = 0.5
 #: Up to so many ids (8 bytes each) are broadcast to prune texts before they are shuffled.
 BROADCAST_IDS = 250_000
 #: Members of an unsettled bucket that one task compares with so many others.
