@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("packing", packed)]
 
-#: Compression, sketches and tokenizers are beyond SQL; the tests hold run() against brute force.
+#: Compression, sketches and tokenizers are beyond SQL; the tests hold run() against its stages, and the mix against plain Python.
 ORACLE_SQL = None
 
 
