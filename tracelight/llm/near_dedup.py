@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import HOT_SHARE, join_groups, materialize
+from tracelight.llm._common import HOT_SHARE, join_groups, materialize, pieces, tidy
 from tracelight.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -24,8 +24,11 @@ BAND_ROWS = 4
 ESTIMATE_FLOOR = 0.5
 #: Up to so many ids (8 bytes each) are broadcast to prune texts before they are shuffled.
 BROADCAST_IDS = 250_000
-#: Members of an unsettled bucket that one task compares with so many others.
-BLOCK = 1024
+#: Members of an unsettled bucket that one task compares with so many others, and members of a centre that are dealt together.
+BLOCK = 256
+FOLLOWERS = 64
+#: Bytes of text whose shingles are hashed at a time.
+SEGMENT = 1 << 18
 
 _U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -42,31 +45,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U64(_MULTIPLIER))
 
 
-class _Powers:
-    """Powers of the odd multiplier and of its inverse modulo 2**64, grown on demand."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(_MULTIPLIER, -1, 1 << 64)
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))]) for x in (_MULTIPLIER, inverse))
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            inverse = pow(_MULTIPLIER, -1, 1 << 64)
-            cls.up = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, _MULTIPLIER, np.uint64))])
-            cls.down = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, inverse, np.uint64))])
-        return cls.up, cls.down
+#: Powers of the odd multiplier and of its inverse modulo 2**64, for SEGMENT bytes.
+_UP, _DOWN = _powers(2 * SEGMENT)
 
 
-def shingle_sets(texts: list[bytes | None], words: int = SHINGLE_WORDS) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of the distinct shingles of each text.
-
-    A-Z become lower case, words are split at ASCII white space; fewer than ``words`` words are one
-    shingle as a whole, none give the empty set. A shingle's hash is a polynomial over its bytes with
-    the words one space apart, taken from prefix sums over the whole batch."""
-    normal = [b" ".join((t or b"").lower().split()) for t in texts]
+def _hashes(normal: list[bytes], words: int) -> list[np.ndarray]:
+    """Hashes of the shingles of each text, in text order."""
     buffer = np.frombuffer(b"\n".join(normal) + b"\n", np.uint8)
-    up, down = _Powers.to(len(buffer) + 1)
+    up, down = (_UP, _DOWN) if len(buffer) <= 2 * SEGMENT else _powers(len(buffer))
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_BYTE[buffer] * up[: len(buffer)], out=sums[1:])
     gaps = np.flatnonzero((buffer == 32) | (buffer == 10))
@@ -75,18 +66,49 @@ def shingle_sets(texts: list[bytes | None], words: int = SHINGLE_WORDS) -> list[
     out, first = [], 0
     for text, last in zip(normal, ends.tolist()):
         n = last + 1 - first if text else 0
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-        else:
-            span = min(words, n)
-            s, e = starts[first : last + 2 - span], gaps[first + span - 1 : last + 1]
-            h = _mix((sums[e] - sums[s]) * down[s] ^ _mix((e - s).astype(np.uint64)))
-            h.sort()
-            out.append(h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])])
+        span = min(words, n)
+        s, e = starts[first : last + 2 - span], gaps[first + span - 1 : last + 1]
+        out.append(_mix((sums[e] - sums[s]) * down[s] ^ _mix((e - s).astype(np.uint64))) if n else np.zeros(0, np.uint64))
         first = last + 1
     return out
 
 
+def shingle_sets(texts: list[bytes | None], words: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles of each text.
+
+    A-Z become lower case, words are split at ASCII white space; fewer than ``words`` words are one
+    shingle as a whole, none give the empty set. A shingle's hash is a polynomial over its bytes with
+    the words one space apart, taken from prefix sums over some SEGMENT bytes at a time: short texts
+    are put together, and a long one is cut into stretches that overlap by all but one of a shingle's words."""
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush():
+        nonlocal held, size
+        for (k, _), found in zip(held, _hashes([x for _, x in held], words) if held else []):
+            parts[k].append(found)
+        held, size = [], 0
+
+    for k, text in enumerate(texts):
+        own = (text or b"").lower().split()
+        normal = b" ".join(own)
+        step = max(1, len(own) * SEGMENT // max(len(normal), 1)) if len(normal) > SEGMENT else len(own)
+        for at in range(0, max(1, len(own) - words + 1), max(1, step)):
+            part = normal if step >= len(own) else b" ".join(own[at : at + step + words - 1])
+            held.append((k, part))
+            size += len(part)
+            if size >= SEGMENT:
+                flush()
+    flush()
+    out = []
+    for found in parts:
+        h = found[0] if len(found) == 1 else np.concatenate(found)
+        h.sort()
+        out.append(h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])])
+    return out
+
+
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """SetSketch registers of each set, one row each, 16 bits a register; an empty set has zeros.
 
@@ -168,13 +190,20 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _packed_sets(column) -> list[np.ndarray]:
+    """Sets of a binary column, without copies."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    return [np.frombuffer(data, np.uint64, (e - s) // 8, s) if e > s else np.zeros(0, np.uint64) for s, e in zip(ends, ends[1:])]
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("registers", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist())
                 rows = sketch(sets)
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -195,38 +224,71 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "registers").mapInArrow(run, schema)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimated similarity reaches the floor."""
+def _met(pairs: DataFrame, table: DataFrame, test) -> DataFrame:
+    """Pairs (``a``, ``b``) of which ``test`` holds for some rows of both in ``table`` (``id``, ``n``, ``data``).
+
+    Each a has one pair, while a b may have any number: its a are dealt to groups of about FOLLOWERS, each of which gets
+    b's rows once, ahead of them, and goes through the others as they come. ``test`` takes one (n, data) and an Arrow
+    batch of (n, data) and tells which rows pass."""
     schema = pairs.select("a", "b").schema
+    total = pairs.count()
+    many = pairs.groupBy("b").agg(F.count("*").alias("_count")).where(F.col("_count") > FOLLOWERS)
+    dealt = join_groups(pairs.select("a", "b"), many, ["b"], "_count", total, F.col("a"))
+    parts = F.coalesce(F.ceil(F.col("_count") / FOLLOWERS), F.lit(1)).cast("long")
+    dealt = materialize(dealt.select("a", "b", parts.alias("_parts"), F.pmod(F.xxhash64("a"), parts).alias("_part")), "near-dealt")
+    rows = table.select("id", "n", "data")
+    followers = dealt.join(rows, dealt["a"] == rows["id"]).select("b", "_part", F.lit(1).alias("_turn"), "a", "n", "data")
+    heads = dealt.select("b", "_parts").distinct().join(rows, F.col("b") == rows["id"])
+    heads = heads.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_turn"), F.col("b").alias("a"), "n", "data")
+    together = heads.unionByName(followers).repartition(F.col("b"), F.col("_part")).sortWithinPartitions("b", "_part", "_turn")
 
     def run(batches):
+        group, heads, fresh = None, [], True
         for batch in batches:
-            keep = np.zeros(0, bool)
-            if batch.num_rows:
-                n1, n2 = (np.asarray(batch.column(i), dtype=float) for i in (3, 5))
-                keep = reaches(_registers(batch.column(2)), _registers(batch.column(4)), n1, n2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    one = reps.select(F.col("id").alias("a"), F.col("registers").alias("_ra"), F.col("n").alias("_na"))
-    two = reps.select(F.col("id").alias("b"), F.col("registers").alias("_rb"), F.col("n").alias("_nb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_ra", "_na", "_rb", "_nb").mapInArrow(run, schema)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            turns = batch.column(2).to_pylist()
+            keep, at = np.zeros(batch.num_rows, bool), 0
+            while at < batch.num_rows:
+                stop = at + 1
+                while stop < batch.num_rows and keys[stop] == keys[at] and turns[stop] == turns[at]:
+                    stop += 1
+                part = batch.slice(at, stop - at)
+                if turns[at] == 0:
+                    if group != keys[at] or not fresh:
+                        group, heads, fresh = keys[at], [], True
+                    heads += list(zip(part.column(4).to_pylist(), part.column(5).to_pylist()))
+                elif group == keys[at]:
+                    fresh = False
+                    for n, data in heads:
+                        keep[at:stop] |= test(n, data, part.column(4), part.column(5))
+                at = stop
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0)], names=["a", "b"]).filter(pa.array(keep))
+
+    return together.select("b", "_part", "_turn", "a", "n", "data").mapInArrow(run, schema)
+
+
+def _likely(n: int, data: bytes, others, registers) -> np.ndarray:
+    rows = _registers(registers)
+    return reaches(np.broadcast_to(np.frombuffer(data, np.uint16), rows.shape), rows, np.full(len(rows), float(n)), np.asarray(others, dtype=float))
 
 
 def _full_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and packed shingle set of the ids in column ``_w``; texts are read again for these only."""
+    """``id``, ``n`` and packed shingle set (``data``) of the ids in column ``_w``; texts are read again for these only.
+
+    An id has a row for each of its distinct sets."""
     ids = materialize(ids.distinct(), "near-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("_text"))
     texts = source.join(wanted, source["id"] == ids["_w"], "left_semi")
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("set", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
 
     def sets(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], names=["id", "set"])
+            for part in pieces(batch, 1):
+                found = shingle_sets(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=schema.fieldNames())
 
-    return materialize(texts.mapInArrow(sets, schema), "near-sets")
+    return materialize(texts.mapInArrow(sets, schema).where("n > 0"), "near-sets")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -242,36 +304,39 @@ def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, perce
     """Pairs whose full shingle sets reach the threshold."""
     full = _full_sets(pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))), df, id_col, text_col)
 
-    def check(batches):
-        for batch in batches:
-            sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            keep = [_alike(x, y, percent) for x, y in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def alike(n, data, others, sets):
+        own = np.frombuffer(data, np.uint64)
+        return np.array([_alike(own, x, percent) for x in _packed_sets(sets)], bool)
 
-    one, two = full.select(F.col("id").alias("a"), F.col("set").alias("_sa")), full.select(F.col("id").alias("b"), F.col("set").alias("_sb"))
-    # one row per id on the right: a hot id piles up rows on the pair side only, which AQE splits
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_sa", "_sb").mapInArrow(check, pairs.select("a", "b").schema)
+    return _met(pairs, full, alike)
 
 
 def _open_buckets(members: DataFrame, components: DataFrame, reps: DataFrame, total: int) -> DataFrame:
-    """Members of buckets that hold two components: key, id, component, registers, n, count."""
+    """Members of buckets that hold two components: key, id, component, registers, n, count, minor, minors.
+
+    All but the members of the bucket's largest component are ``minor``: a pair across components has one at least."""
     placed = members.select("key", "id", "count").join(components.withColumnRenamed("node", "id"), "id", "left")
     placed = materialize(placed.withColumn("component", F.coalesce("component", "id")), "near-placed")
     total *= REGISTERS // BAND_ROWS
-    split = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("_open"), F.count("*").alias("_n"))
-    split = split.where(F.col("_open") | (F.col("_n") * HOT_SHARE >= F.lit(total)))
-    found = join_groups(placed, split, ["key"], "_n", total, F.col("id")).where("_open").drop("_n", "_open")
-    return materialize(found.join(reps, "id").select("key", "id", "component", "registers", "n", "count"), "near-open")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("_m"))
+    split = parts.groupBy("key").agg(F.max(F.struct("_m", "component")).alias("_most"), F.sum("_m").alias("_n"))
+    split = split.where((F.col("_n") > F.col("_most._m")) | (F.col("_n") * HOT_SHARE >= F.lit(total)))
+    split = split.select("key", F.col("_most.component").alias("_major"), (F.col("_n") - F.col("_most._m")).alias("minors"), "_n")
+    found = join_groups(placed, split, ["key"], "_n", total, F.col("id")).where("minors > 0")
+    found = found.withColumn("minor", F.col("component") != F.col("_major"))
+    return materialize(found.join(reps, "id").select("key", "id", "component", "registers", "n", "count", "minor", "minors"), "near-open")
 
 
 def _dealt(members: DataFrame, *more: str) -> DataFrame:
-    """Bucket members for tasks that compare them: a bucket larger than BLOCK is dealt by id into blocks, and each
-    two blocks meet in a group of their own; a smaller bucket is one group."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = members.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", other)
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "id", "component", "registers", "n", *more)
+    """Bucket members for tasks that compare them. A bucket of up to BLOCK members is one group (role 0). A larger one
+    is a grid of groups: a block of its minor members (role 1) meets a block of all its members (role 2)."""
+    across, down = F.ceil(F.col("count") / BLOCK).cast("int"), F.ceil(F.col("minors") / BLOCK).cast("int")
+    place = lambda x, y, role: F.struct(x.cast("int").alias("_x"), y.cast("int").alias("_y"), F.lit(role).alias("_role"))
+    block = lambda name, n: F.pmod(F.xxhash64("id", F.lit(name)), n)
+    whole = F.transform(F.sequence(F.lit(0), down - 1), lambda x: place(x, block("all", across), 2))
+    minor = F.transform(F.sequence(F.lit(0), across - 1), lambda y: place(block("minor", down), y, 1))
+    places = F.when(F.col("count") <= BLOCK, F.array(place(F.lit(0), F.lit(0), 0))).when(F.col("minor"), F.concat(whole, minor)).otherwise(whole)
+    dealt = members.withColumn("_p", F.explode(places)).select("key", "_p._x", "_p._y", "_p._role", "id", "component", "registers", "n", *more)
     return dealt.repartition(F.col("key"), F.col("_x"), F.col("_y")).sortWithinPartitions("key", "_x", "_y", "id")
 
 
@@ -302,20 +367,18 @@ def _likely_in_groups(table):
     A pair that shares several bands is taken in the first of them only."""
     keys = _group_keys(table)
     group = np.cumsum(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) - 1
-    own, n = np.asarray(table.column(3)), np.asarray(table.column(7), dtype=float)
+    role, n = np.asarray(table.column(3)), np.asarray(table.column(7), dtype=float)
     names: dict = {}
     part = np.array([names.setdefault(c, len(names)) for c in table.column(5).to_pylist()])
     registers = _registers(table.column(6))
     bands = band_keys(registers)
-    crossed = keys[:, 1] != keys[:, 2]
     for d in range(1, len(group)):
         i = np.flatnonzero(group[:-d] == group[d:])
         if not len(i):
             break
         j = i + d
-        # two different blocks meet for the pairs across them; those inside are another group's
-        apart = (part[i] != part[j]) & ~(crossed[i] & (own[i] == own[j]))
-        i, j = i[apart], j[apart]
+        fits = (part[i] != part[j]) & ((role[i] != role[j]) | (role[i] == 0))
+        i, j = i[fits], j[fits]
         for at in range(0, len(i), 20_000):
             a, b = i[at : at + 20_000], j[at : at + 20_000]
             same = bands[a] == bands[b]
@@ -328,7 +391,7 @@ def _likely_in_groups(table):
 
 
 def _best_partners(open_: DataFrame) -> DataFrame:
-    """Per member of an open bucket, the likely one of another component that shares most registers: at most a pair each."""
+    """Per member of an open bucket, the likely one of another component that shares most registers: a pair (a, b) for an a at most."""
     kind = open_.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("equal", T.LongType())])
 
@@ -344,8 +407,7 @@ def _best_partners(open_: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(list(best), pa.int64())), ids.take(pa.array([q for _, q in best.values()], pa.int64())), pa.array([e for e, _ in best.values()], pa.int64())], names=["a", "b", "equal"])
 
     found = _dealt(open_).mapInArrow(run, schema)
-    best = found.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
 
 
 def _involved(open_: DataFrame) -> DataFrame:
@@ -364,13 +426,12 @@ def _involved(open_: DataFrame) -> DataFrame:
 
 def _settling_links(involved: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components among the rows of each bucket, by full sets: every likely pair is tested unless the
-    bucket's earlier links have joined the two components, so there are fewer links than components."""
+    group's earlier links have joined the two components, so a group gives fewer links than it has components."""
     kind = involved.schema["id"].dataType
 
     def run(batches):
         for table in _whole_groups(batches):
-            full = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()]
-            names = table.column(5).to_pylist()
+            full, names = _packed_sets(table.column(8)), table.column(5).to_pylist()
             root: dict = {}
 
             def find(x):
@@ -388,10 +449,11 @@ def _settling_links(involved: DataFrame, sets: DataFrame, percent: int) -> DataF
             ids = table.column(4).combine_chunks()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    dealt = _dealt(involved.join(sets, "id"), "set")
+    dealt = _dealt(involved.join(sets.select("id", "data"), "id"), "data")
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+@tidy
 def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -404,8 +466,9 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     and no link that would join two components is passed over.
 
     Null and empty texts have no shingles and are components of their own, kept. Rows repeated with
-    one id share a component; all of them are kept if that id is its smallest. Rows with a null id
-    are left out of links and kept. Further columns are ignored; an empty table gives no rows."""
+    one id share a component, whether their texts are equal or not; all of them are kept if that id is
+    its smallest. Rows with a null id are left out of links and kept. Further columns are ignored; an
+    empty table gives no rows."""
     table = materialize(sketches(df, id_col, text_col), "near-sketches")
     total = table.count()
     linked = table.where("n > 0 and id is not null")
@@ -413,23 +476,28 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = classes.where("size > 1")
     reps_of = join_groups(table.select("id", "n", "same"), shared, ["same"], "size", total, F.col("id"))
     reps_of = reps_of.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
+    reps_of = materialize(reps_of, "near-reps-of")
+    # an id with two texts stands in two classes, which it links
+    twice = reps_of.where("id is not null").groupBy("id").agg(F.collect_set("rep").alias("_reps")).where("size(_reps) > 1")
+    twice = twice.select(F.col("id").alias("a"), F.explode("_reps").alias("b")).where("a <> b")
     lone = linked.join(classes.select("same", "rep"), [linked["same"] == classes["same"], linked["id"] == classes["rep"]], "left_semi")
-    reps = materialize(lone.groupBy("id").agg(F.min(F.struct("n", "registers")).alias("_r")).select("id", "_r.n", "_r.registers"), "near-reps")
+    variants = materialize(lone.select("id", "same", "n", "registers").dropDuplicates(["id", "same"]).drop("same"), "near-reps")
 
-    bands = materialize(_bands(reps), "near-bands")
+    bands = materialize(_bands(variants).distinct() if variants.select("id").distinct().count() < variants.count() else _bands(variants), "near-bands")
     buckets = bands.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("count")).where("count > 1")
     members = materialize(join_groups(bands, buckets, ["key"], "count", total * (REGISTERS // BAND_ROWS), F.col("id")).where("count is not null"), "near-members")
     centred = members.where("id <> low").groupBy("id", "low").agg(F.count("*").alias("bands"))
     best = centred.groupBy("id").agg(F.min(F.struct((-F.col("bands")).alias("bands"), F.col("low"))).alias("best"))
-    pairs = materialize(_likely(best.select(F.col("id").alias("a"), F.col("best.low").alias("b")), reps), "near-pairs")
-    links = materialize(_verified(pairs, df, id_col, text_col, percent), "near-links")
+    pairs = materialize(best.select(F.col("id").alias("a"), F.col("best.low").alias("b")), "near-centres")
+    pairs = materialize(_met(pairs, variants.withColumnRenamed("registers", "data"), _likely), "near-pairs")
+    links = materialize(_verified(pairs, df, id_col, text_col, percent).unionByName(twice), "near-links")
     components = materialize(connected_components(links), "near-components")
 
-    best = materialize(_best_partners(_open_buckets(members, components, reps, total)), "near-pairs")
+    best = materialize(_best_partners(_open_buckets(members, components, variants, total)), "near-pairs")
     links = materialize(links.unionByName(_verified(best, df, id_col, text_col, percent)), "near-links")
     components = materialize(connected_components(links), "near-components")
 
-    involved = materialize(_involved(_open_buckets(members, components, reps, total)), "near-involved")
+    involved = materialize(_involved(_open_buckets(members, components, variants, total)), "near-involved")
     sets = _full_sets(involved.select(F.col("id").alias("_w")), df, id_col, text_col)
     links = materialize(links.unionByName(_settling_links(involved, sets, percent)), "near-links")
     components = materialize(connected_components(links), "near-components")
