@@ -1,5 +1,6 @@
 """The mix's shards and places decide where its rows are."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelight.llm import mixing
@@ -38,4 +39,38 @@ def test_op6_shows_the_draws(spark):
 
     rows = op6_source_mix(spark, SMALL).collect()
     assert all(sum(d["words"] for d in r["draws"]) == r["taken"] for r in rows)
-    assert {"round", "shard", "place", "first_word", "words"} == set(next(r for r in rows if r["draws"])["draws"][0].asDict())
+    assert {"round", "shard", "place", "turn", "first_word", "words"} == set(next(r for r in rows if r["draws"])["draws"][0].asDict())
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 5, 12, 13, 100, 512, 1009])
+def test_every_seed_permutes_all_blocks(spark, blocks):
+    order = lambda *key: [r[0] for r in spark.range(blocks).select("id", mixing.permuted(F.col("id"), F.lit(blocks).cast("long"), *map(F.lit, key)).alias("p")).orderBy("id").select("p").collect()]
+    one, two, last = order("mix", "s", 0), order("other", "s", 0), order("mix", "s", 1)
+    assert sorted(one) == sorted(two) == sorted(last) == list(range(blocks))
+    if blocks > 12:
+        assert one != two and one != last
+        steps = {(b - a) % blocks for a, b in zip(one, one[1:])}
+        assert len(steps) > blocks // 4  # no arithmetic progression
+
+
+def draws(spark, **options):
+    rows = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet"), **options).collect()
+    return {(r["doc_id"], d["round"], d["first_word"]): d for r in rows for d in r["draws"]}, {r["source"]: r["target"] for r in rows}, rows
+
+
+def test_the_seed_decides_the_blocks_and_the_tree_the_shards(spark):
+    one, targets, rows = draws(spark, shard_words=10_000)
+    two, same_targets, others = draws(spark, shard_words=10_000, seed="other")
+    assert targets == same_targets and one.keys() != two.keys()
+    taken = lambda rows: {s: sum(d["words"] for r in rows if r["source"] == s for d in r["draws"]) for s in targets}
+    assert all(abs(taken(rows)[s] - taken(others)[s]) <= 13 for s in targets)
+    three, _, _ = draws(spark, shard_words=40_000)
+    assert one.keys() == three.keys() and {d["shard"] for d in three.values()} < {d["shard"] for d in one.values()}
+    assert [d["shard"] for d in one.values()] != [d["shard"] for d in three.values()]
+
+
+def test_many_shards_are_joined_as_they_are_listed(spark, monkeypatch):
+    one, _, _ = draws(spark, shard_words=500)
+    monkeypatch.setattr(mixing, "LISTED_SHARDS", 0)
+    two, _, _ = draws(spark, shard_words=500)
+    assert one == two and len({d["shard"] for d in one.values()}) > 100

@@ -15,12 +15,13 @@ MOST_REPEATS = 2
 #: Words of a block; small sources have smaller ones, so that each has BLOCKS_PER_SOURCE at least.
 BLOCK_WORDS = 4096
 BLOCKS_PER_SOURCE = 512
-#: Words an output shard holds at least; their number is a power of two, MAX_SHARDS at most.
+#: Words an output shard holds, up to twice as many; the number of shards is the power of two that follows.
 SHARD_WORDS = 1 << 21
-MAX_SHARDS = 1024
 SEED = "mix"
-#: Fixed primes; the first that does not divide a source's number of blocks steps through its permutation.
-STRIDES = (1_000_003, 998_244_353, 1_000_000_007)
+#: Rounds of the permutation of a source's blocks, and how often a block outside them is sent on at most.
+PERMUTATION_ROUNDS, WALKS = 4, 64
+#: Up to so many shards of all sources are looked up in lists of their bounds; more meet the draws in a join.
+LISTED_SHARDS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -93,6 +94,66 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     return _let(F.struct(total.alias("t"), marked.alias("m"), drawn.alias("d"), u.alias("u")), limits)
 
 
+def permuted(block: Column, blocks: Column, *key: Column) -> Column:
+    """The place of ``block`` in a permutation of 0 .. ``blocks`` - 1 that the ``key`` (seed, source, round) picks.
+
+    A block is a cell of a grid about as high as wide; by turns its row and its column are shifted by a
+    hash of the other, which permutes the grid. A cell outside the blocks is permuted again until it is
+    inside: the grid has less than a row too many, so that happens once in a while."""
+
+    def shift(p, i):
+        row, column = p["row"], p["column"]
+        moved = lambda own, other, size: F.pmod(own + F.pmod(F.xxhash64(*key, i, other), size), size)
+        return F.when(i % 2 == 0, F.struct(moved(row, column, p["high"]).alias("row"), column.alias("column"), p["high"].alias("high"), p["wide"].alias("wide"))).otherwise(
+            F.struct(row.alias("row"), moved(column, row, p["wide"]).alias("column"), p["high"].alias("high"), p["wide"].alias("wide")))
+
+    def once(x, g):
+        start = F.struct(F.floor(x / g["wide"]).cast("long").alias("row"), F.pmod(x, g["wide"]).alias("column"), g["high"].alias("high"), g["wide"].alias("wide"))
+        return _let(F.aggregate(F.array(*[F.lit(i) for i in range(PERMUTATION_ROUNDS)]), start, shift), lambda p: p["row"] * p["wide"] + p["column"])
+
+    def walk(g):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(block, g), lambda x, _: F.when(x < blocks, x).otherwise(once(x, g)))
+
+    high = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
+    grid = _let(high, lambda h: F.struct(h.alias("high"), F.ceil(blocks / h).cast("long").alias("wide")))
+    found = _let(grid, walk)
+    return _let(found, lambda x: F.when(x < blocks, x).otherwise(F.raise_error(F.lit("a block found no place")).cast("long")))
+
+
+def _shard_at(bounds: Column, turn: Column) -> Column:
+    """The number of the last of the ascending ``bounds`` that is not above ``turn``, by bisection; of equal ones, the last."""
+
+    def halve(s, _):
+        middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        return F.when(s["low"] >= s["high"], s).when(F.element_at(bounds, middle + 1) <= turn, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (middle - 1).alias("high")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + 1.0)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), (F.size(bounds) - 1).alias("high")), halve)["low"].cast("long")
+
+
+def _joined_shards(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """``placed`` with the shard of each of its draws, by a join of draws to the shards' ranges.
+
+    Ranges and draws meet in steps of turns as wide as a source's ranges on average, so a step has a few of either."""
+    width = F.greatest(F.lit(1).cast("long"), F.floor(F.col("quota") / F.col("_shards"))).cast("long")
+    placed = materialize(placed.withColumn("_row", F.monotonically_increasing_id()), "mix-draws")
+    draws = placed.select("_row", "_key", "quota", F.explode("draws").alias("_d")).withColumn("_shards", F.lit(cells.agg(F.max("shard") + 1).first()[0] or 1))
+    draws = draws.withColumn("_step", F.floor(F.col("_d.turn") / width).cast("long")).select("_row", "_key", "_d", "_step")
+    cells = cells.where("blocks > 0").withColumn("_shards", F.lit(cells.agg(F.max("shard") + 1).first()[0] or 1))
+    steps = F.sequence(F.floor(F.col("first") / width).cast("long"), F.floor((F.col("first") + F.col("blocks") - 1) / width).cast("long"))
+    ranges = cells.select(_named(F.col("source")).alias("_ck"), "shard", "first", "blocks", F.explode(steps).alias("_cstep"))
+    inside = (F.col("_key") == F.col("_ck")) & (F.col("_step") == F.col("_cstep")) & (F.col("_d.turn") >= F.col("first")) & (F.col("_d.turn") < F.col("first") + F.col("blocks"))
+    found = draws.join(ranges, inside).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_d.turn", "shard"))).alias("_found"))
+    joined = placed.join(found, "_row", "left")
+    by_turn = F.map_from_entries(F.coalesce("_found", F.array().cast("array<struct<turn:bigint,shard:bigint>>")))
+    return joined.withColumn("draws", F.transform("draws", lambda d: d.withField("shard", F.element_at(by_turn, d["turn"])))).drop("_row", "_found")
+
+
+def _named(source: Column) -> Column:
+    """A key of a source that is never null."""
+    return F.concat(F.when(source.isNull(), "n").otherwise("s"), F.coalesce(source, F.lit("")))
+
+
 def _drawer(level: int, seed: str):
     """The step of a node's draw that takes the next source's share of the left child."""
 
@@ -117,6 +178,8 @@ def split_quotas(quotas: DataFrame, levels: int, seed: str = SEED) -> DataFrame:
     node = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "quota"))), lambda x: x["quota"]).alias("q"), F.max(F.lit(0)).alias("shard"))
     node = node.where(F.size("q") > 0).select(F.lit(0).cast("long").alias("shard"), "q", F.transform("q", lambda x: F.lit(0).cast("long")).alias("first"))
     for level in range(levels):
+        if level and level % 8 == 0:  # nodes by now are worth spreading
+            node = materialize(node.repartition("shard"), "mix-nodes")
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
         node = node.withColumn("_total", total)
         empty = F.struct(F.array().cast("array<bigint>").alias("left"), F.col("_total").alias("total"), F.floor(F.col("_total") / 2).cast("long").alias("drawn"))
@@ -135,22 +198,24 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     """One row per input row: ``id_col``, ``size``, ``source``, ``source_size``, ``target``, ``draws``.
 
     A source's documents, in an order given by hashes, are one stretch of words cut into blocks; each
-    round through the source visits its blocks in another permutation, and the mix takes the first
+    round through the source visits its blocks in a permutation of its own (``permuted``), and the mix takes the first
     blocks of that sequence up to its quota, the last one cut where the target ends. ``draws`` lists
-    what is taken of the document: round, shard, place (order by it within a shard), first word and
+    what is taken of the document: round, shard, place (order by it within a shard), turn, first word and
     words. Quotas are dealt to the shards by ``split_quotas``; as a shard's range of a source's
     permuted blocks is its own, shards share no draw. The column's metadata has the number of ``shards``.
 
     Null texts and texts without words have size 0 and no draws; a null source is a source, the last.
     Rows repeated with one id follow each other in the stretch. Cumulated sizes come from a two-level
-    sum over hash buckets, so a source of any share of the rows is spread. Reruns agree. Columns named
-    in ``carry`` come along in a struct ``row`` (and are shuffled once)."""
+    sum over hash buckets, so a source of any share of the rows is spread; targets and quotas of all
+    sources meet in one row, so sources may number thousands, not millions. Reruns agree. Columns named
+    in ``carry`` come along in a struct ``row`` (and are shuffled once). An empty table gives no rows;
+    further columns are ignored, whatever their names."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
     rows = materialize(rows, "mix-sizes")
     narrow = rows.select("_id", "source", "size")
     stats = narrow.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.count_distinct("source").alias("sources")).first()
-    levels = min(int(math.log2(MAX_SHARDS)), max(0, math.ceil(math.log2(max(1, share * stats["words"] / shard_words)))))
+    levels = max(0, math.floor(math.log2(max(1, share * stats["words"] / shard_words))))
     buckets = max(256, stats["n"] // 100_000)
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights=weights, share=share, most=most)
@@ -160,31 +225,31 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     # a round visits all blocks and gives source_size words, so what is left of the target is taken in blocks of the last round
     plan = plan.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("quota", F.col("rounds") * F.col("blocks") + F.ceil((F.col("words") - F.col("rounds") * F.col("source_size")) / F.col("block")).cast("long"))
-    stride = F.coalesce(*[F.when(F.col("blocks") % p != 0, F.lit(p)) for p in STRIDES], F.lit(1)).cast("long")
-    plan = materialize(plan.withColumn("stride", stride), "mix-plan")
+    plan = materialize(plan, "mix-plan")
     cells = split_quotas(plan.where("quota > 0").select("source", "quota"), levels, seed)
-    bounds = cells.select(F.col("source").alias("_bs"), "shard", "first").groupBy("_bs").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "first"))), lambda x: x["first"]).alias("bounds"))
-    plan = plan.join(bounds, F.col("source").eqNullSafe(F.col("_bs")), "left").drop("_bs")
-    plan = materialize(plan.withColumnRenamed("source", "_source"), "mix-shards")
-    if stats["sources"] * (1 << levels) <= 100_000:  # a proven bound: sources times shards
-        plan = F.broadcast(plan)
+    listed = (stats["sources"] + 1) << levels <= LISTED_SHARDS  # a proven bound of what is broadcast: sources times shards
+    if listed:
+        bounds = cells.select(F.col("source").alias("_bs"), "shard", "first").groupBy("_bs").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "first"))), lambda x: x["first"]).alias("bounds"))
+        plan = plan.join(bounds, F.col("source").eqNullSafe(F.col("_bs")), "left").drop("_bs")
+    else:
+        cells = materialize(cells.join(plan.select(F.col("source").alias("_bs"), "quota"), F.col("source").eqNullSafe(F.col("_bs"))).drop("_bs"), "mix-cells")
+    plan = F.broadcast(materialize(plan.withColumnRenamed("source", "_source"), "mix-shards"))  # a row for each source
 
     # one key that is never null, so that the window and the join after it share one partitioning of the rows
-    key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    placed = rows.withColumn("_key", key).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
+    placed = rows.withColumn("_key", _named(F.col("source"))).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
     sums = placed.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_key", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_upto", F.sum("size").over(inside)).join(sums, ["_key", "_bucket"])
-    placed = placed.withColumn("_at", F.col("_base") + F.col("_upto") - F.col("size")).drop("_key", "_bucket", "_base", "_upto", "_hash")
+    placed = placed.withColumn("_at", F.col("_base") + F.col("_upto") - F.col("size")).drop("_bucket", "_base", "_upto", "_hash")
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     first_block, last_block = F.floor(F.col("_at") / F.col("block")).cast("long"), F.floor((F.col("_at") + F.col("size") - 1) / F.col("block")).cast("long")
     touched = F.when((F.col("size") > 0) & (F.col("quota") > 0), F.sequence(first_block, last_block)).otherwise(F.array().cast("array<bigint>"))
 
     def visits(r):
-        return F.transform(touched, lambda b: F.struct(F.lit(r).cast("long").alias("round"), b.alias("block"), (F.lit(r) * F.col("blocks") + F.pmod(b * F.col("stride") + F.lit(7919 * r), F.col("blocks"))).alias("turn")))
+        return F.transform(touched, lambda b: F.struct(F.lit(r).cast("long").alias("round"), b.alias("block"), (F.lit(r) * F.col("blocks") + permuted(b, F.col("blocks"), F.lit(seed), F.col("source"), F.lit(r))).alias("turn")))
 
     per_round = [visits(r) for r in range(most)]
     turns = F.filter(F.concat(*per_round), lambda t: t["turn"] < F.col("quota"))
@@ -196,11 +261,13 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
         whole = F.least(F.col("_at") + F.col("size"), (t["block"] + 1) * F.col("block"))
         cut = F.least(whole, t["block"] * F.col("block") + last_words)
         stop = F.when((t["turn"] == F.col("quota") - 1) & (t["round"] == F.col("rounds")), cut).otherwise(whole)
-        shard = F.size(F.filter("bounds", lambda x: x <= t["turn"])) - 1
-        return F.struct(t["round"].alias("round"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), F.col("source"), t["turn"]).alias("place"), (start - F.col("_at")).alias("first_word"), F.greatest(stop - start, F.lit(0)).cast("long").alias("words"))
+        shard = _shard_at(F.col("bounds"), t["turn"]) if listed else F.lit(None).cast("long")
+        return F.struct(t["round"].alias("round"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), F.col("source"), t["turn"]).alias("place"), t["turn"].alias("turn"), (start - F.col("_at")).alias("first_word"), F.greatest(stop - start, F.lit(0)).cast("long").alias("words"))
 
-    draws = F.filter(F.transform(turns, taken), lambda d: d["words"] > 0)
-    return placed.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", draws.alias("draws", metadata={"shards": 1 << levels}), *(["row"] if carry else []))
+    placed = placed.withColumn("draws", F.filter(F.transform(turns, taken), lambda d: d["words"] > 0))
+    if not listed:
+        placed = _joined_shards(placed, cells)
+    return placed.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", F.col("draws").alias("draws", metadata={"shards": 1 << levels}), *(["row"] if carry else []))
 
 
 def taken_words(draws: Column) -> Column:
