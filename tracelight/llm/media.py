@@ -1,8 +1,8 @@
 """Media columns: payloads stored as 8-bit images in archives, read back by byte ranges.
 
 ``MediaArchives`` is a Spark data source over a folder of ZIP archives. Writing stores one member
-per row; reading plans partitions as byte ranges of the archives, takes each range's members from
-the archive's own directory, and streams them through Arrow."""
+per row, in the archive's own directory and in a member index beside it; reading plans partitions as
+byte ranges, takes each range's members from its stretch of the index, and streams them through Arrow."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ import struct
 import uuid
 import zipfile
 import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tracelight.llm._common import new_path
+from tracelight.llm._common import new_path, pieces
 
 #: Payloads are rows of so many 8-bit samples.
 WIDTH = 64
 #: Deflate level of the stored samples, and the ceiling of one image data chunk.
 LEVEL = 4
 CHUNK_BYTES = 1 << 24
-#: A task's byte range, and the size at which a writer starts another archive.
+#: A task's byte range, at least; as there are MOST_RANGES at most, larger folders have larger ones. The size at
+#: which a writer starts another archive.
 RANGE_BYTES = 8 << 20
+MOST_RANGES = 100_000
 ARCHIVE_BYTES = 256 << 20
 #: A batch is sent on when it holds so many bytes.
 BATCH_BYTES = 4 << 20
@@ -89,6 +92,12 @@ def image_features(payload: bytes) -> str:
     return f"{WIDTH}x{n // WIDTH} mean={mean:.3f} sd={spread:.3f} hist={'-'.join(map(str, shares.tolist()))}"
 
 
+#: A row of a member index: offset, size, checksum and bytes of the name, which follows. At the index's end stand, for
+#: the first member and one in each INDEX_BYTES, its offset in the archive and its row's in the index, and their number.
+_ENTRY, _MARK, _COUNT = struct.Struct("<QQII"), struct.Struct("<QQ"), struct.Struct("<Q")
+INDEX_BYTES = 1 << 20
+
+
 @dataclass
 class ByteRange(InputPartition):
     archive: str
@@ -119,16 +128,17 @@ class _Reader(DataSourceReader):
         files, root = _filesystem(self.path)
         with files.open_input_stream(f"{root}/manifest.json") as f:
             archives = json.loads(f.read())
-        ranges = [ByteRange(a, s, min(s + self.range_bytes, n)) for a, n in archives for s in range(0, n, self.range_bytes)]
+        size = max(self.range_bytes, sum(n for _, n in archives) // MOST_RANGES)
+        ranges = [ByteRange(a, s, min(s + size, n)) for a, n in archives for s in range(0, n, size)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition):
         if not partition.archive:
             return
         files, root = _filesystem(self.path)
+        with files.open_input_file(f"{root}/{partition.archive}.index") as f:
+            members = _members(f, partition.start, partition.stop)
         with files.open_input_file(f"{root}/{partition.archive}") as f:
-            with zipfile.ZipFile(f) as directory:
-                members = sorted((m for m in directory.infolist() if partition.start <= m.header_offset < partition.stop), key=lambda m: m.header_offset)
             group, size = [], 0
             for m in members:
                 group.append(m)
@@ -165,6 +175,29 @@ class _Reader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(media, pa.binary()), pa.array(errors, pa.string())], names=["key", "media", "error"])
 
 
+def _members(index, start: int, stop: int) -> list[zipfile.ZipInfo]:
+    """Members that begin from ``start`` to before ``stop``, by the stretch of the index that lists them."""
+    end = index.size() - _COUNT.size
+    index.seek(end)
+    (count,) = _COUNT.unpack(index.read(_COUNT.size))
+    index.seek(end - count * _MARK.size)
+    marks = list(_MARK.iter_unpack(index.read(count * _MARK.size)))
+    first = max(bisect_right(marks, (start, 1 << 63)) - 1, 0)
+    last = bisect_left(marks, (stop, 0))
+    at, over = marks[first][1], marks[last][1] if last < count else end - count * _MARK.size
+    index.seek(at)
+    listed, at, found = index.read(over - at), 0, []
+    while at < len(listed):
+        offset, size, checksum, n = _ENTRY.unpack_from(listed, at)
+        at += _ENTRY.size
+        if start <= offset < stop:
+            member = zipfile.ZipInfo(listed[at : at + n].decode())
+            member.header_offset, member.compress_size, member.file_size, member.CRC = offset, size, size, checksum
+            found.append(member)
+        at += n
+    return found
+
+
 def _member(stretch: bytes, at: int, member: zipfile.ZipInfo) -> bytes:
     if stretch[at : at + 4] != b"PK\x03\x04":
         raise ValueError(f"{member.filename}: no member at its offset")
@@ -183,22 +216,29 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator):
         files, root = _filesystem(self.path)
         files.create_dir(root, recursive=True)
-        archives, stream, zipped, name, count = [], None, None, "", 0
+        archives, stream, zipped, name, count, index, marks = [], None, None, "", 0, None, []
 
         def close():
             zipped.close()
             archives.append((name, stream.tell()))
             stream.close()
+            index.write(b"".join([_MARK.pack(*m) for m in marks]) + _COUNT.pack(len(marks)))
+            index.close()
 
         for batch in iterator:
             for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if zipped is None:
-                    name = f"{uuid.uuid4().hex}.zip"
+                    name, marks = f"{uuid.uuid4().hex}.zip", []
                     stream = files.open_output_stream(f"{root}/{name}", compression=None)
+                    index = files.open_output_stream(f"{root}/{name}.index", compression=None)
                     zipped = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
                 member = zipfile.ZipInfo(f"{count:09d}-{key}")
                 count += 1
                 zipped.writestr(member, media)
+                if not marks or member.header_offset - marks[-1][0] >= INDEX_BYTES:
+                    marks.append((member.header_offset, index.tell()))
+                title = member.filename.encode()
+                index.write(_ENTRY.pack(member.header_offset, member.compress_size, member.CRC, len(title)) + title)
                 if stream.tell() >= ARCHIVE_BYTES:
                     close()
                     zipped = None
@@ -238,8 +278,7 @@ def write_media(df: DataFrame, folder: str, *, id_col: str = "doc_id", text_col:
 
     def encode(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(at, 512)
+            for part in pieces(batch, 1):
                 images = [encode_image(t or b"") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(images, pa.binary())], names=["key", "media"])
 
@@ -283,7 +322,8 @@ def media_round_trip(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Store every text as an image, read the archives back and describe what was read.
 
     Null texts are empty and stored as one row of zeros; very long texts become taller images;
-    repeated rows and null ids come back as often as they went in. Further columns are ignored."""
+    repeated rows and null ids come back as often as they went in. Further columns are ignored. A member
+    that stays unreadable is a row without id or digests whose ``error`` says why."""
     folder = new_path(df.sparkSession, "media")
     write_media(df, folder, id_col=id_col, text_col=text_col)
     out = media_digests(read_media(df.sparkSession, folder))
