@@ -13,6 +13,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import OrderedDict
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -28,8 +29,11 @@ BLOCK_LINES = 1024
 GZIP_LEVEL = 3
 #: A fixed capture date: the tables carry none, and reruns must agree.
 CAPTURED = "2020-01-01T00:00:00Z"
-#: Blocks a lookup task keeps decompressed.
+#: Blocks a lookup task keeps decompressed, and directory rows it holds at a time.
 KEPT_BLOCKS = 8
+#: Bytes of records that one lookup task reads, and captures that one index file holds, on average.
+TASK_BYTES = 8 << 20
+FILE_CAPTURES = 1 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -139,8 +143,9 @@ def write_warc(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col:
 
 
 def build_index(captures: DataFrame, folder: str, *, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort captures by key into compressed blocks; returns the sparse directory: ``first``, ``file``, ``start``, ``length``, ``lines``."""
-    schema = T.StructType([T.StructField("first", T.StringType()), T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("lines", T.LongType())])
+    """Sort captures by key into compressed blocks; returns the sparse directory, a row for each block: ``first`` and
+    ``last`` key, ``file``, ``start``, ``length``, ``lines``."""
+    schema = T.StructType([T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("lines", T.LongType())])
 
     def pack(batches):
         files, root = _filesystem(folder)
@@ -155,7 +160,7 @@ def build_index(captures: DataFrame, folder: str, *, block_lines: int = BLOCK_LI
                 stream = files.open_output_stream(f"{root}/{name}", compression=None)
             packed = _gzip("\n".join(lines).encode())
             stream.write(packed)
-            out.append((lines[0].split("\t", 1)[0], name, at, len(packed), len(lines)))
+            out.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], name, at, len(packed), len(lines)))
             at += len(packed)
             lines = []
 
@@ -168,23 +173,36 @@ def build_index(captures: DataFrame, folder: str, *, block_lines: int = BLOCK_LI
             flush()
         if stream is not None:
             stream.close()
-        columns = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=schema.fieldNames())
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=schema.fieldNames())
 
-    ordered = captures.select("key", "file", "start", "length").repartitionByRange(F.col("key")).sortWithinPartitions("key")
+    files = max(1, captures.count() // FILE_CAPTURES)
+    ordered = captures.select("key", "file", "start", "length").repartitionByRange(files, F.col("key")).sortWithinPartitions("key")
     return ordered.mapInArrow(pack, schema)
 
 
 class CaptureIndex:
-    """Point lookups over the two levels."""
+    """Lookups over the two levels. Of the sparse directory, only the rows around the keys in hand are held."""
+
+    def __init__(self, archives: str, index: str, directory: str):
+        import pyarrow.dataset as ds
 
-    def __init__(self, archives: str, index: str, directory: list[tuple[str, str, int, int]]):
         self.archives, self.index = _filesystem(archives), _filesystem(index)
-        self.directory = sorted(directory)
-        self.firsts = [d[0] for d in self.directory]
-        self.blocks: OrderedDict[int, tuple[list[str], list[str]]] = OrderedDict()
+        files, root = _filesystem(directory)
+        self.rows = ds.dataset(root, filesystem=files, format="parquet")
+        self.directory: list[tuple[str, str, int, int]] = []
+        self.firsts: list[str] = []
+        self.blocks: OrderedDict[tuple[str, int], tuple[list[str], list[str]]] = OrderedDict()
         self.open: dict[str, object] = {}
 
+    def around(self, low: str, high: str) -> None:
+        """Hold the directory's rows of blocks that can have keys from ``low`` to ``high``; the files' statistics skip the others."""
+        import pyarrow.dataset as ds
+
+        table = self.rows.to_table(columns=["first", "file", "start", "length"], filter=(ds.field("first") <= high) & (ds.field("last") >= low))
+        self.directory = sorted(zip(*(table.column(i).to_pylist() for i in range(4))))
+        self.firsts = [d[0] for d in self.directory]
+
     def _range(self, where, name: str, start: int, length: int) -> bytes:
         files, root = where
         f = self.open.get(name)
@@ -196,64 +214,80 @@ class CaptureIndex:
         return f.read(length)
 
     def _block(self, at: int) -> tuple[list[str], list[str]]:
-        if at in self.blocks:
-            self.blocks.move_to_end(at)
-            return self.blocks[at]
         _, name, start, length = self.directory[at]
+        if (name, start) in self.blocks:
+            self.blocks.move_to_end((name, start))
+            return self.blocks[name, start]
         lines = _gunzip(self._range(self.index, name, start, length)).decode().split("\n")
-        self.blocks[at] = ([line.split("\t", 1)[0] for line in lines], lines)
+        found = self.blocks[name, start] = ([line.split("\t", 1)[0] for line in lines], lines)
         if len(self.blocks) > KEPT_BLOCKS:
             self.blocks.popitem(last=False)
-        return self.blocks[at]
+        return found
 
-    def find(self, key: str) -> list[tuple[str, int, int]]:
-        """(file, start, length) of the captures with exactly this key."""
+    def find(self, key: str, above: str | None = None) -> Iterator[tuple[str, int, int]]:
+        """(file, start, length) of the captures with exactly this key, or with keys from it to below ``above``."""
         at = max(bisect_left(self.firsts, key) - 1, 0)
-        found = []
-        while at < len(self.directory) and self.firsts[at] <= key:
+        while at < len(self.directory) and (self.firsts[at] <= key if above is None else self.firsts[at] < above):
             keys, lines = self._block(at)
-            for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
+            for line in lines[bisect_left(keys, key) : bisect_right(keys, key) if above is None else bisect_left(keys, above)]:
                 _, name, start, length = line.rsplit("\t", 3)
-                found.append((name, int(start), int(length)))
+                yield name, int(start), int(length)
             at += 1
-        return found
 
     def read(self, name: str, start: int, length: int) -> tuple[dict[str, str], bytes]:
         return parse_record(_gunzip(self._range(self.archives, name, start, length)))
 
 
-def lookup(keys: DataFrame, archives: str, index: str, directory_path: str, id_type: T.DataType) -> DataFrame:
-    """Read the captures of each distinct ``key`` back: one row per capture.
+_READ = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("url", T.StringType())])
 
-    Keys are sorted in ranges, so a task reads neighbouring blocks once each. The directory holds one
-    row per block of thousands of captures and is read by each task from its files."""
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("url", T.StringType())])
 
+def _read_captures(keys: DataFrame, archives: str, index: str, directory: str, tasks: int, id_type: T.DataType, whole_urls: bool) -> DataFrame:
     def read(batches):
-        import pyarrow.parquet as pq
-
         found = None
         for batch in batches:
-            if found is None:
-                files, root = _filesystem(directory_path)
-                table = pq.ParquetDataset(root, filesystem=files).read(columns=["first", "file", "start", "length"])
-                found = CaptureIndex(archives, index, list(zip(*(table.column(i).to_pylist() for i in range(4)))))
-            rows = []
-            for key in batch.column(0).to_pylist():
-                for capture in found.find(key):
-                    headers, body = found.read(*capture)
-                    size, digest = int(headers["warc-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
-                    if headers["warc-type"] == "response" and (len(body) != size or payload_digest(body) != digest):
-                        raise ValueError(f"{headers['warc-record-id']}: the payload read back differs from its digest")
-                    rows.append((_urn(headers["warc-record-id"]), size, digest, headers["warc-type"], _urn(headers.get("warc-refers-to")), headers["warc-target-uri"]))
-            columns = list(zip(*rows)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(columns)], names=schema.fieldNames())
-
-    ordered = keys.select("key").repartitionByRange(F.col("key")).sortWithinPartitions("key")
-    out = ordered.mapInArrow(read, schema)
+            wanted = batch.column(0).to_pylist()
+            if not wanted:
+                continue
+            found = found or CaptureIndex(archives, index, directory)
+            # page ids follow a URL's key after a space, so its captures end before the next character
+            spans = [(f"{k} ", f"{k}!") if whole_urls else (k, None) for k in wanted]
+            found.around(spans[0][0], spans[-1][1] or spans[-1][0])
+            for start in range(0, len(wanted), 64):
+                rows = []
+                for name, (low, above) in zip(wanted[start : start + 64], spans[start : start + 64]):
+                    for capture in found.find(low, above):
+                        headers, body = found.read(*capture)
+                        size, digest = int(headers["warc-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
+                        if headers["warc-type"] == "response" and (len(body) != size or payload_digest(body) != digest):
+                            raise ValueError(f"{headers['warc-record-id']}: the payload read back differs from its digest")
+                        rows.append((name, _urn(headers["warc-record-id"]), size, digest, headers["warc-type"], _urn(headers.get("warc-refers-to")), headers["warc-target-uri"]))
+                columns = list(zip(*rows)) or [()] * len(_READ)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 2 else pa.string()) for i, c in enumerate(columns)], names=_READ.fieldNames())
+
+    ordered = keys.select("key").repartitionByRange(max(1, tasks), F.col("key")).sortWithinPartitions("key")
+    out = ordered.mapInArrow(read, _READ)
     return out.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
+def lookup(keys: DataFrame, archives: str, index: str, directory: str, id_type: T.DataType, *, tasks: int = 1) -> DataFrame:
+    """Read the captures of each distinct capture ``key`` back: one row per capture.
+
+    Keys are sorted in ``tasks`` ranges, so a task reads neighbouring blocks once each, and of the
+    directory (a row per block of a thousand captures) the part around its keys, a batch of keys at a time."""
+    return _read_captures(keys, archives, index, directory, tasks, id_type, False).drop("key")
+
+
+def lookup_urls(urls: DataFrame, archives: str, index: str, directory: str, id_type: T.DataType, *, url_col: str = "url", tasks: int = 1) -> DataFrame:
+    """All captures of each distinct URL, whatever their page: ``key`` (the URL's) and the columns of ``lookup``."""
+    kind = T.StructType([T.StructField("key", T.StringType())])
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    return _read_captures(urls.select(url_col).mapInArrow(keyed, kind).distinct(), archives, index, directory, tasks, id_type, True)
+
+
 def warc_round_trip(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write archives and index for all rows, then read every capture back through the index.
 
@@ -266,5 +300,6 @@ def warc_round_trip(df: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     id_type = df.schema[id_col].dataType
     captures = write_warc(df, archives, id_col=id_col, url_col=url_col, payload_col=payload_col)
     build_index(captures, index).write.parquet(directory)
-    out = lookup(captures.select("key").distinct(), archives, index, directory, id_type)
+    tasks = -(-captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // TASK_BYTES)
+    out = lookup(captures.select("key").distinct(), archives, index, directory, id_type, tasks=tasks)
     return out.withColumnRenamed("id", id_col)
