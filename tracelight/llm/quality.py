@@ -1,17 +1,22 @@
-"""Quality scores: ridge regression on random Fourier features of document statistics, isotonic calibration."""
+"""Quality scores: ridge regression on random Fourier features of document statistics, isotonic calibration.
+
+Beside the cosines stand the standardized statistics and a constant: the kernel is Gaussian plus linear."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from math import ceil, sqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import materialize
+from tracelight.llm._common import materialize, tidy
 
 STATISTICS = ("log_chars", "log_words", "word_length", "word_spread", "distinct_words", "repeated_lines", "log_lines", "upper", "digit", "space", "mark", "symbol", "other_bytes", "end_marks", "bigram_repeat", "top_word")
 FEATURES = 160
@@ -40,13 +45,13 @@ def statistics(raw: bytes) -> list[float]:
     n = len(words)
     lengths = np.fromiter(map(len, words), np.int32, n)
     lines = raw.split(b"\n")
-    distinct = len(set(words))
+    counts = Counter(words)
+    distinct = len(counts)
     top = pairs = 0.0
     if n:
-        # repeats show as hash values that occur often; hashing to 4096 cells keeps the count linear
-        keys = np.fromiter(map(crc32, words), np.uint32, n)
-        top = np.bincount(keys & 4095, minlength=1).max() / n
+        top = max(counts.values()) / n
         if n > 1:
+            keys = np.fromiter(map(crc32, words), np.uint32, n)
             pairs = 1 - len(np.unique(keys[:-1] * np.uint32(2654435761) ^ keys[1:])) / (n - 1)
     ends = raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")
     return [
@@ -134,16 +139,27 @@ def fit_quality(examples: DataFrame) -> QualityModel | None:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
                 total += [np.full(d, len(x)), x.sum(axis=0), (x * x).sum(axis=0)]
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+        yield pieces_of([total])
 
-    def add(table):
+    def add(_, table):
         sums = sum(np.frombuffer(v, "<f8") for v in table.column("v").to_pylist())
-        return pa.table({"k": table.column("k")[:1], "v": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table({"k": table.column("k")[:1], "part": table.column("part")[:1], "v": pa.array([sums.tobytes()], pa.binary())})
 
-    kv = "k long, v binary"
+    kv = "k long, part long, v binary"
     examples = examples.select("stats", "label", "half")
-    found = examples.mapInArrow(moments, kv).groupBy("k").applyInArrow(add, kv).collect()
-    n, s, q = np.frombuffer(found[0]["v"], "<f8").reshape(3, d) if found else np.zeros((3, d))
+    groups = max(1, ceil(sqrt(examples.rdd.getNumPartitions())))
+
+    def summed(parts):
+        """The partitions' sums are added in two steps, neither of which meets more than the root of their number in a task."""
+        some = examples.mapInArrow(parts, kv).groupBy("k", F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(add, kv)
+        return {r["k"]: np.frombuffer(r["v"], "<f8") for r in some.groupBy("k").applyInArrow(add, kv).collect()}
+
+    def pieces_of(sums: list[np.ndarray]):
+        n, part = len(sums), TaskContext.get().partitionId()
+        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([part] * n, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["k", "part", "v"])
+
+    found = summed(moments)
+    n, s, q = found[0].reshape(3, d) if found else np.zeros((3, d))
     if not n[0]:
         return None
     center = s / n
@@ -159,10 +175,9 @@ def fit_quality(examples: DataFrame) -> QualityModel | None:
                 z = np.hstack([fourier((_matrix(batch.column(0)) - center) / scale), np.asarray(batch.column(1), dtype=float)[:, None]])
                 for h in (0, 1):
                     total[h] += z[half == h].T @ z[half == h]
-        parts = [p for h in (0, 1) for p in np.array_split(total[h], PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(2 * PIECES), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["k", "v"])
+        yield pieces_of([p for h in (0, 1) for p in np.array_split(total[h], PIECES)])
 
-    pieces = {r["k"]: np.frombuffer(r["v"], "<f8") for r in examples.mapInArrow(gram, kv).groupBy("k").applyInArrow(add, kv).collect()}
+    pieces = summed(gram)
     halves = [np.concatenate([pieces[h * PIECES + k] for k in range(PIECES)]).reshape(size, size) for h in (0, 1)]
     whole = _solve(halves[0] + halves[1])
     by_half = [_solve(g) if g[size - 2, size - 2] else whole for g in reversed(halves)]
@@ -178,13 +193,14 @@ def fit_quality(examples: DataFrame) -> QualityModel | None:
                 cell = np.clip(((raw - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
                 total[0] += np.bincount(cell, minlength=BINS)
                 total[1] += np.bincount(cell, weights=np.asarray(batch.column(1), dtype=float), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+        yield pieces_of([total])
 
-    totals, sums = np.frombuffer(examples.mapInArrow(bins, kv).groupBy("k").applyInArrow(add, kv).collect()[0]["v"], "<f8").reshape(2, BINS)
+    totals, sums = summed(bins)[0].reshape(2, BINS)
     knots, levels = pool_violators(totals, sums, low + (np.arange(BINS) + 0.5) * (high - low) / BINS)
     return QualityModel(center, scale, whole, knots, np.clip(levels, 0.0, 1.0))
 
 
+@tidy
 def quality_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_mod: int = 5) -> DataFrame:
     """``id_col``, ``held_out``, ``score`` of every row.
 
