@@ -18,6 +18,8 @@ UNDETERMINED = "und"
 #: Bound of the sample: about so many labelled documents a language, and so many bytes of slices of them.
 DOCS_PER_LANGUAGE = 250
 DICTIONARY_BYTES = 40 << 10
+#: Bound of the languages: the most frequent so many labels are learned (ties: by name); others are noise of the labels.
+MOST_LANGUAGES = 256
 #: Texts are compressed in blocks of so many bytes, so that a long text does not become its own dictionary.
 BLOCK_BYTES = 4096
 LEVEL = 6
@@ -36,15 +38,16 @@ def _prepared(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def fit_languages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
+def fit_languages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Raw-content dictionaries from a bounded sample of labelled rows.
 
     Per language, rows whose id hash is under a threshold that lets about ``docs_per_language``
     through give one slice each at a hashed place, long enough to fill the dictionary together. Rows without language,
-    text or id are not learned from. The sample, not the table, reaches the driver."""
+    text or id are not learned from. The sample, not the table, reaches the driver: at most
+    ``most_languages`` counts and about as many times ``docs_per_language`` slices."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
     if not sizes:
         return LanguageModel({})
     spread = 1 << 40
