@@ -235,7 +235,7 @@ def _met(pairs: DataFrame, table: DataFrame, test) -> DataFrame:
     many = pairs.groupBy("b").agg(F.count("*").alias("_count")).where(F.col("_count") > FOLLOWERS)
     dealt = join_groups(pairs.select("a", "b"), many, ["b"], "_count", total, F.col("a"))
     parts = F.coalesce(F.ceil(F.col("_count") / FOLLOWERS), F.lit(1)).cast("long")
-    dealt = materialize(dealt.select("a", "b", parts.alias("_parts"), F.pmod(F.xxhash64("a"), parts).alias("_part")), "near-dealt")
+    dealt = dealt.select("a", "b", parts.alias("_parts"), F.pmod(F.xxhash64("a"), parts).alias("_part"))
     rows = table.select("id", "n", "data")
     followers = dealt.join(rows, dealt["a"] == rows["id"]).select("b", "_part", F.lit(1).alias("_turn"), "a", "n", "data")
     heads = dealt.select("b", "_parts").distinct().join(rows, F.col("b") == rows["id"])
@@ -476,7 +476,6 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = classes.where("size > 1")
     reps_of = join_groups(table.select("id", "n", "same"), shared, ["same"], "size", total, F.col("id"))
     reps_of = reps_of.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
-    reps_of = materialize(reps_of, "near-reps-of")
     # an id with two texts stands in two classes, which it links
     twice = reps_of.where("id is not null").groupBy("id").agg(F.collect_set("rep").alias("_reps")).where("size(_reps) > 1")
     twice = twice.select(F.col("id").alias("a"), F.explode("_reps").alias("b")).where("a <> b")

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries, with production parameters."""
+"""The ten operators as registered queries, with production parameters."""
 
 from __future__ import annotations
 
@@ -63,7 +63,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_round_trip(_table(spark, sf_dir, "documents")).drop("error")
+    return media.media_round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (op1_quality_scores, op2_packing, op3_suffix_dedup, op4_language_id, op5_exact_dedup, op6_source_mix, op7_near_dedup, op8_media, op9_warc, op10_token_counts)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 OP5_SQL = r"""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import discard, join_groups, materialize
+from tracelight.llm._common import join_groups, materialize, tidy
 from tracelight.llm.suffix_order import InducedSort
 
 MATCH = 50
@@ -373,6 +373,7 @@ def _with_replies(chunks: DataFrame, replies: DataFrame, more: DataFrame | None
     return chunks.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "chunk", "left")
 
 
+@tidy
 def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, memory: int = MEMORY) -> DataFrame:
     """Per input row: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
@@ -406,8 +407,6 @@ def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     replies = materialize(inside.repartition(shards, "shard").mapInArrow(_shard_replies(match, memory), kind), "suffix-replies")
     result = _with_replies(chunks, replies, regions.where("shard = -1").select("chunk", "n", "data"))
     result = materialize(result.select("chunk", "ids", "sizes", "text", "own", "reply").mapInArrow(_results(match), RESULT), "suffix-results")
-    for done in (chunks, found, regions, replies):
-        discard(done)
     per_text = result.dropDuplicates(["digest"]).join(groups, "digest")
     out = join_groups(rows, per_text.select("digest", "rep", "size", "n_removed", "n_spans", "kept_sha256"), ["digest"], "size", total, F.col("id"))
     copy = (F.col("rep") < F.col("id")) & (F.col("n") >= match)
