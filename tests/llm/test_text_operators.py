@@ -103,6 +103,42 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_an_id_with_two_texts_links_both(spark):
+    a, b = make_text(random.Random(1), 60), make_text(random.Random(2), 60)
+    near = lambda t: t + " tail"
+    rows = [(1, a), (2, near(a)), (2, b), (3, near(b)), (4, "alone here and there too"), (5, b), (None, a)]
+    for repeated in (rows, [(1, a), (2, a), (2, b), (3, b), (4, "alone here and there too"), (5, b), (None, a)]):
+        got = near_dedup.near_dedup(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 1)]
+
+
+def test_exact_copies_go_by_id_and_text(spark):
+    rows = spark.createDataFrame([(1, "same text", 0), (2, "same  text", 1), (2, "another text", 2), (1, "same text", 3), (None, "same text", 4), (None, None, 5), (7, "", 6), (8, None, 7)], "doc_id long, text string, _copy int")
+    kept = sorted(r["_copy"] for r in exact_dedup.without_copies(rows).collect())
+    assert kept == [0, 2, 3, 4, 5, 6]
+    one, two = exact_dedup.exact_dedup(rows).drop("text_sha256"), exact_dedup.exact_dedup(rows, digests=False)
+    assert collected(one, "*") == collected(two.drop("text_sha256"), "*")
+    assert two.where("group_size > 1 and text_sha256 is null").count() == 0 and two.where("text_sha256 is null").count() == 1
+
+
+def test_a_hot_key_is_dealt_to_all_partitions(spark):
+    from tracelight.llm._common import join_groups
+
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(20_000).select("id", F.when(F.col("id") < 8000, 1).otherwise(F.col("id")).alias("k"))
+        joined = join_groups(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n", 20_000, F.col("id"))
+        assert "hashpartitioning(k#" in (plan := joined._jdf.queryExecution().toString()) and "_salt#" in plan.split("Physical Plan")[1].split("hashpartitioning(k#")[1].split(")")[0]
+        sizes = [r["rows"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("rows"), F.sum("n")).collect()]
+        assert len(sizes) == 8 and max(sizes) < 3500 and joined.where("n is null or (k = 1) <> (n = 8000)").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Copies around the threshold: links between them, not only to the smallest, decide the components."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
@@ -231,11 +267,15 @@ def test_packing_round_trip(docs, empty):
             assert offset == at
             at += length
         assert at == tier and at & (at - 1) == 0 and at <= 256
-    groups = {}
-    for r in rows:
-        groups.setdefault((r["tier"], r["step_group"]), 0)
-        groups[r["tier"], r["step_group"]] += r["length"]
-    assert all(v <= packing.TOKENS_PER_STEP for v in groups.values())
+    assert list(rows[0].asDict()) == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+    tiers, sequences = {}, {}
+    for r in packing.pack(docs, WORD_BPE, window=256, smallest=32, tokens_per_step=1024).where("offset = 0").collect():
+        tiers.setdefault(r["step_group"], set()).add(r["tier"])
+        sequences.setdefault(r["tier"], {}).setdefault(r["step_group"], []).append(r["sequence_id"])
+    assert sorted(tiers) == list(range(len(tiers))) and all(len(t) == 1 for t in tiers.values())
+    for tier, groups in sequences.items():
+        sizes = [len(x) for x in groups.values()]
+        assert max(sizes) * tier * (tier + 256) <= max(2 * 1024 * 256, tier * (tier + 256)) and max(sizes) - min(sizes) <= 1
     assert packing.pack(empty, WORD_BPE).count() == 0
 
 
@@ -449,14 +489,32 @@ def test_capture_index_finds_records_by_url(spark, tmp_path):
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     archives, index = f"file://{tmp_path}/warc", f"file://{tmp_path}/cdx"
     captures = warc.write_warc(table, archives)
-    blocks = warc.build_index(captures, index, block_lines=16).collect()
-    found = warc.CaptureIndex(archives, index, [tuple(b)[:4] for b in blocks])
+    directory = f"file://{tmp_path}/directory"
+    warc.build_index(captures, index, block_lines=16).write.parquet(directory)
+    blocks = spark.read.parquet(directory).collect()
+    found = warc.CaptureIndex(archives, index, directory)
     assert len(blocks) > 30
     for i in (0, 3, 250, 499):
-        (where,) = found.find(f"{warc.url_key(rows[i][1])} {i}")
+        key = f"{warc.url_key(rows[i][1])} {i}"
+        found.around(key, key)
+        assert len(found.directory) <= 2
+        (where,) = found.find(key)
         headers, body = found.read(*where)
         assert body == f"page {i}".encode() and headers["warc-type"] == "response"
-    assert found.find("nothing") == []
+    found.around("nothing", "nothing")
+    assert list(found.find("nothing")) == []
+
+
+def test_captures_of_a_url(spark, tmp_path):
+    """All captures of a URL without their page ids, over several blocks and lookup tasks; neighbours stay out."""
+    rows = [(i, f"https://a.example/{'x' if i % 3 else 'xy'}", f"page {i}") for i in range(90)] + [(900, None, "none"), (901, "https://a.example/x!", "z")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives, index, directory = (f"file://{tmp_path}/{x}" for x in ("warc", "cdx", "directory"))
+    warc.build_index(warc.write_warc(table, archives), index, block_lines=8).write.parquet(directory)
+    urls = spark.createDataFrame([("http://a.example/x",), ("https://a.example/x",), ("https://b.example/",), (None,)], "url string")
+    got = warc.lookup_urls(urls, archives, index, directory, table.schema["page_id"].dataType, tasks=3).collect()
+    assert sorted(r["id"] for r in got) == [*(i for i in range(90) if i % 3), 900]
+    assert {r["url"] for r in got} == {"https://a.example/x", ""}
 
 
 def test_url_keys():

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 import regex
 
 #: Entries a worker's cache may hold before it starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 #: Longer pieces are computed anew each time rather than kept.
 CACHE_CHARS = 48
 
@@ -43,71 +44,62 @@ def plain_words(text: bytes) -> list[bytes] | None:
     return text.replace(b".", b" . ").replace(b",", b" , ").split()
 
 
+class _Learned(dict):
+    """A cache that learns what it is asked for and lacks."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        found = self[key] = self.learn(key)
+        return found
+
+
 class ChunkIds:
     """Ids of whole texts from a word BPE that drops white space, by a cache of white-space-free chunks.
 
     White space always ends a pretoken and is dropped, and special strings hold none, so the ids of
-    a text are its chunks' ids put together. Unseen chunks are cut to pretokens, and unseen
-    pretokens are encoded many at a time in one call; each ends with a word-end token, which tells
-    where the next one starts."""
+    a text are its chunks' ids put together. Unseen chunks are cut to pretokens, and the library's
+    model gives the ids of unseen pretokens, written in the byte alphabet."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.lib = _library(path)
-        vocab = self.lib.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model, self.normal = self.lib.model, self.lib.normalizer.normalize_str
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.shown = {b: c for c, b in _byte_alphabet().items()}
         self.find = regex.compile(WORD_PATTERN).findall
-        self.entries, self.chunks, self.words = entries, {}, {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Ids of pretokens; in one call they stand a space apart and stay what they are."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(part):
-                raw = ids.tobytes()
-                starts = [0, *stops[:-1]]
-                self.words.update(zip(part, [raw[4 * s : 4 * e] for s, e in zip(starts, stops)]))
-            else:
-                self.words.update((word, self._encode(word)) for word in part)
-
-    def _learn(self, plain: set[bytes], mixed: set[bytes]) -> None:
-        cut, new = [], set()
-        normal, known = self.lib.normalizer.normalize_str, self.words
-        for raw in mixed:
-            text = raw.decode("utf-8", "replace")
-            if "<|" in text and any(s in text for s in self.special):
-                self.chunks[raw] = self._encode(text)
-                continue
-            words = self.find(text.lower() if text.isascii() else normal(text))
-            cut.append((raw, words))
-            new.update(w for w in words if w not in known)
-        single = [raw.decode() for raw in plain]
-        new.update(w for w in single if w not in known)
-        self._learn_words(list(new))
-        self.chunks.update(zip(plain, map(known.__getitem__, single)))
-        for raw, words in cut:
-            self.chunks[raw] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        self.entries, self.chunks, self.words = entries, _Learned(self._chunk), _Learned(self._word)
+
+    def _word(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, raw: bytes) -> bytes:
+        if raw.isalpha():
+            return self._word(raw.lower().decode())
+        text = raw.decode("utf-8", "replace")
+        if "<|" in text and any(s in text for s in self.special):
+            ids = self.lib.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        # below U+0100 the normal form is the text itself in lower case
+        pieces = self.find(text.lower() if text.isascii() or max(text) < "\u0100" else self.normal(text))
+        if len(pieces) == 1:
+            return self._word(pieces[0])
+        return b"".join([self.words[p] for p in pieces])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        if len(self.chunks) > self.entries:
-            self.chunks = {}
-        if len(self.words) > self.entries:
-            self.words = {}
-        plain = [plain_words(t) for t in texts]
-        mixed = [None if p is not None else t.split() for p, t in zip(plain, texts)]
-        one = set().union(*[p for p in plain if p]).difference(self.chunks)
-        two = set().union(*[m for m in mixed if m]).difference(self.chunks).difference(one)
-        if one or two:
-            self._learn(one, two)
-        get = self.chunks.__getitem__
-        return [b"".join(list(map(get, m if p is None else p))) for p, m in zip(plain, mixed)]
+        for kept in (self.chunks, self.words):
+            if len(kept) > self.entries:
+                kept.clear()
+        get, out = self.chunks.__getitem__, []
+        for text in texts:
+            words = plain_words(text)
+            out.append(b"".join(map(get, text.split() if words is None else words)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -122,6 +114,13 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
+def _bytes(steps: list[int]) -> bytes:
+    """Steps as signed bytes; a step that is none is an error rather than another number."""
+    if steps and (max(steps) > 127 or min(steps) < -128):
+        raise OverflowError("a token count changes by more than a signed byte from one character to the next")
+    return bytes([x & 255 for x in steps])
+
+
 class PrefixCounts:
     """Exact token counts at every character prefix of a text, by dynamic programming over byte prefixes.
 
@@ -199,7 +198,7 @@ class PrefixCounts:
                 at += len(c.encode("utf-8", "surrogatepass"))
                 counts.append(count[at])
             count = counts
-        found = bytes([b - a & 255 for a, b in zip(count, count[1:])]), total
+        found = _bytes([b - a for a, b in zip(count, count[1:])]), total
         if size <= CACHE_CHARS:
             if len(self.pretokens) >= self.entries:
                 self.pretokens = {}
@@ -225,15 +224,15 @@ class PrefixCounts:
             if lead or piece in CONTRACTIONS:
                 for j in range(1, len(piece) + 1):
                     count = root + self._total(lead + piece[:j])
-                    steps.append(count - now & 255)
+                    steps.append(count - now)
                     now = count
             else:
-                first = own[0] + base - now
-                steps += [first & 255, *own[1:]]
+                own = [x - 256 if x > 127 else x for x in own]
+                steps += [own[0] + base - now, *own[1:]]
                 now = base + total
             base += total
             before = piece
-        return bytes(steps)
+        return _bytes(steps)
 
     def _plain(self, text: str) -> list[bytes]:
         first, *rest = self.split(text)
@@ -263,7 +262,7 @@ class PrefixCounts:
             part = text[start : m.end() - 1]
             steps = np.frombuffer(b"".join(self._plain(part)), dtype=np.int8) if part else np.zeros(0, np.int8)
             whole = self._total(text[start : m.start()]) + 1
-            done += [steps, np.array([whole - int(steps.sum(dtype=np.int64))], dtype=np.int8)]
+            done += [steps, np.frombuffer(_bytes([whole - int(steps.sum(dtype=np.int64))]), dtype=np.int8)]
             start = m.end()
         if start < len(text):
             done.append(np.frombuffer(b"".join(self._plain(text[start:])), dtype=np.int8))

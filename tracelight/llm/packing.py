@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import materialize
+from tracelight.llm._common import materialize, tidy
 from tracelight.llm.bpe import chunk_ids
 
 WINDOW = 2048
@@ -108,14 +108,16 @@ class TierPacker:
             left -= size
 
 
+@tidy
 def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, smallest: int = SMALLEST, tokens_per_step: int = TOKENS_PER_STEP) -> DataFrame:
     """Pieces of packed sequences: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``, ``tier``, ``step_group``.
 
     Documents are tokenized and packed where they are read, so no text or ids are shuffled; every
     sequence holds a power of two of tokens at most ``window``, so none needs padding. ``tier`` is
-    that number. Step groups balance the work of training steps: each holds sequences of one tier
-    that add up to ``tokens_per_step`` (the last of a tier may hold fewer).
+    that number. Step groups balance the work of training steps: each holds sequences of one tier,
+    whose linear and quadratic costs add up to those of ``tokens_per_step`` tokens in windows at most; a
+    tier's sequences are shared evenly among its groups, and no two tiers share a group number.
 
     A null text is empty; an empty text is its end id alone. Repeated rows and null ids are packed as
     documents of their own. Very long texts become whole windows and a rest. Further columns are
@@ -177,6 +179,18 @@ def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col
     pieces = materialize(source.mapInArrow(run, schema), "pieces")
     counts = pieces.where("offset = 0").groupBy("_part", "tier").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("tier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_part", "tier", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    step = F.floor((F.col("_before") + F.col("_nth")) * F.col("tier") / F.lit(tokens_per_step)).cast("long")
-    return pieces.join(counts, ["_part", "tier"]).withColumn("step_group", step).drop("_part", "_nth", "_before")
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("tier")))
+    tiers = counts.groupBy("tier").agg(F.max("_all").alias("_all")).withColumn("_groups", _groups_of(F.col("tier"), F.col("_all"), window, tokens_per_step))
+    earlier = Window.orderBy(F.col("tier").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each tier
+    tiers = tiers.select("tier", "_groups", F.coalesce(F.sum("_groups").over(earlier), F.lit(0)).alias("_base"))
+    counts = counts.join(F.broadcast(tiers), "tier")
+    group = F.col("_base") + F.floor((F.col("_before") + F.col("_nth")) * F.col("_groups") / F.col("_all"))
+    out = pieces.join(counts, ["_part", "tier"]).withColumn("step_group", group.cast("long"))
+    return out.select(id_col, *longs[:-2], "step_group")
+
+
+def _groups_of(tier, sequences, window: int, tokens_per_step: int):
+    """Step groups of a tier. A sequence costs its tokens and, as much again at the window, their square: a group's
+    cost is that of ``tokens_per_step`` tokens in windows, whatever its tier."""
+    most = F.greatest(F.lit(1), F.floor(F.lit(2.0 * tokens_per_step * window) / (tier * (tier + window))))
+    return F.ceil(sequences / most)
