@@ -12,7 +12,11 @@ from tracelight import model
 from tracelight.operators import association, encoding, events, inference, intervals, joins, multiscale, preprocess, qc, runs, spectral, transients
 from tracelight.plans import multiverse
 from tracelight.plans.pipeline import compatibility, run_pipeline
-from tracelight.plans.specs import Alternative, BaselineDFF, Contrast, DecisionNode, EventSummary, Lowpass, MultiverseSpec, PipelineSpec, QualityGate, ReferenceDFF, Resample
+from tracelight.plans.operations import BaselineDFFOperation as BaselineDFF
+from tracelight.plans.operations import LowpassFilterOperation as Lowpass
+from tracelight.plans.operations import ReferenceDFFOperation as ReferenceDFF
+from tracelight.plans.operations import ResampleOperation as Resample
+from tracelight.plans.specs import Alternative, ContrastDesign, DecisionNode, EventSummarySpec, MultiverseSpec, PipelineSpec, QualityGateSpec
 from tracelight.sources import evidence, photometry, tabular
 
 KEYS = ("subject", "session")
@@ -283,7 +287,7 @@ def study(spark):
     return spark.createDataFrame(rows, model.SAMPLES), spark.createDataFrame(evs, model.EVENTS)
 
 
-SPEC = PipelineSpec((ReferenceDFF("ols"),), QualityGate(("large_gaps",)), EventSummary((-0.5, 0), (0, 0.5)), Contrast("condition", "drug", "control"), ("unit_contrasts_roughly_normal", "units_independent"))
+SPEC = PipelineSpec((ReferenceDFF("ols"),), QualityGateSpec(("large_gaps",)), EventSummarySpec((-0.5, 0), (0, 0.5)), ContrastDesign("condition", "drug", "control"), ("unit_contrasts_roughly_normal", "units_independent"))
 
 
 def test_pipeline_plans_blocks_and_answers(spark):
@@ -291,20 +295,17 @@ def test_pipeline_plans_blocks_and_answers(spark):
     ledger = run_pipeline(SPEC, samples, evs)
     assert ledger["status"] == "success" and ledger["result"]["n"] == 4 and ledger["result"]["low"] > 0 and ledger["dispositions"] == {"complete": 16}
     assert all(u["contrast"] > 0 for u in ledger["units"])
-    from dataclasses import replace
-
-    assert run_pipeline(replace(SPEC, acknowledged=()), samples, evs)["status"] == "planned"
+    assert run_pipeline(SPEC.replace(acknowledged=()), samples, evs)["status"] == "planned"
     holed = samples.where("t < 2 or t > 3")
     blocked = run_pipeline(SPEC, holed, evs)
     assert blocked["status"] == "blocked" and blocked["blocking"] == ["large_gaps"] and blocked["result"] is None
 
 
-def test_compatibility_is_blind_to_outcomes():
-    clocks = [{"session": "a/1", "interval_cv": 0.2, "median_dt": 0.05}]
-    from dataclasses import replace
+def test_compatibility_is_blind_to_outcomes(spark):
+    clocks = spark.createDataFrame([("a/1", 0.2, 0.05)], "session string, interval_cv double, median_dt double")
 
     def codes(*ops, variables=("signal", "reference"), v="dff"):
-        return [i["code"] for i in compatibility(replace(SPEC, preprocessing=ops, event_summary=replace(SPEC.event_summary, variable=v)), clocks, set(variables))]
+        return [i["code"] for i in compatibility(SPEC.replace(preprocessing=ops, event_summary=SPEC.event_summary.replace(variable=v)), clocks, set(variables))]
 
     assert codes(ReferenceDFF()) == []
     assert codes(ReferenceDFF(), variables=("signal",)) == ["reference_channel_missing"]
@@ -312,13 +313,16 @@ def test_compatibility_is_blind_to_outcomes():
     assert codes(BaselineDFF("asls")) == ["asls_requires_regular_sampling"] and codes(Resample(20.0), BaselineDFF("asls")) == []
     assert codes(Resample(20.0, 1.0, 2.0), ReferenceDFF()) == ["ambiguous_resampling_gap_policy"]
     assert codes() == ["event_summary_variable_missing"]
+    several = clocks.union(spark.createDataFrame([("a/2", 1e-9, 0.05), ("b/1", None, None)], clocks.schema))
+    found = compatibility(SPEC.replace(preprocessing=(BaselineDFF("asls"),)), several, {"signal"})
+    assert found == [{"code": "invalid_time_axis", "step": None, "recordings": 1, "session": "b/1"}, {"code": "asls_requires_regular_sampling", "step": 0, "recordings": 1, "session": "a/1"}]
 
 
 def test_multiverse_keeps_failures_and_shares_prefixes(spark):
     samples, evs = study(spark)
     nodes = (
         DecisionNode("fit", (Alternative("ols", (("preprocessing", (ReferenceDFF("ols"),)),)), Alternative("broken", (("preprocessing", (ReferenceDFF("nope"),)),)), Alternative("fast", (("preprocessing", (Lowpass(50.0), ReferenceDFF("ols"))),)))),
-        DecisionNode("window", (Alternative("short", (("event_summary", EventSummary((-0.5, 0), (0, 0.5))),)), Alternative("long", (("event_summary", EventSummary((-1, 0), (0, 1))),)))),
+        DecisionNode("window", (Alternative("short", (("event_summary", EventSummarySpec((-0.5, 0), (0, 0.5))),)), Alternative("long", (("event_summary", EventSummarySpec((-1, 0), (0, 1))),)))),
     )
     spec = MultiverseSpec(SPEC, nodes, ("ols", "short"), smallest_effect=0.001, direction="positive")
     out = multiverse.run_multiverse(spec, samples, evs)

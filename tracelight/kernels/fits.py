@@ -6,7 +6,7 @@ import numpy as np
 
 #: Huber's constant and the factor from median absolute deviation to standard deviation.
 HUBER, MAD = 1.345, 1.4826
-FIT_POINTS = 2000
+FIT_POINTS: int | None = 2000
 
 
 def huber_line(x: np.ndarray, y: np.ndarray, *, iterations: int = 50, tolerance: float = 1e-8) -> tuple[float, float]:
@@ -76,44 +76,54 @@ def asls_baseline(t: np.ndarray, y: np.ndarray, *, smoothness: float = 1e8, asym
     return z
 
 
-def double_exponential_baseline(t: np.ndarray, y: np.ndarray, *, min_tau_s: float = 5.0, iterations: int = 200) -> np.ndarray:
-    """Offset plus two decaying exponentials, soft-L1 loss, bounded by reparametrization, fitted to 2000 even points at most."""
+def double_exponential_baseline(t: np.ndarray, y: np.ndarray, *, min_tau_s: float = 5.0, iterations: int = 200, points: int | None = FIT_POINTS) -> np.ndarray:
+    """Offset plus two decaying exponentials under soft-L1 loss, whose quadratic zone is a tenth of the deviation, so
+    that transients hardly pull the baseline up.
+
+    Fitted to ``points`` evenly spread samples (None: all), within bounds: offset and amplitudes up to twice the 95th
+    percentile, time constants from ``min_tau_s`` to ten durations. A logistic map of each parameter keeps it there."""
     if len(y) < 6:
         return np.full(len(y), np.nan)
-    at = np.unique(np.linspace(0, len(y) - 1, min(len(y), FIT_POINTS)).round().astype(int))
+    at = np.linspace(0, len(y) - 1, min(len(y), points or len(y)), dtype=int)
     x, v = t[at] - t[0], y[at]
-    span, scale = max(x[-1], min_tau_s * 2), max(float(np.std(v)), 1e-12)
-    top = float(np.median(v[: max(3, len(v) // 20)]) - np.median(v[-max(3, len(v) // 20) :]))
+    eps = float(np.finfo(float).eps)
+    span, zone = max(float(t[-1] - t[0]), min_tau_s), max(0.1 * float(np.std(v)), eps)
+    low = max(float(np.percentile(y, 5)), eps)
+    high = max(float(np.percentile(y, 95)), low)
+    rise = max(high - low, eps)
+    floor = np.array([eps, 0.0, 0.0, min_tau_s, min_tau_s])
+    width = np.array([2 * high, 2 * high, 2 * high, 10 * span, 10 * span]) - floor
+    share = (np.array([low, 0.6 * rise, 0.4 * rise, max(min_tau_s, span / 10), span]) - floor) / width
+    q = np.log((share := np.clip(share, 1e-9, 1 - 1e-9)) / (1 - share))
 
-    def model(p):
-        tau = min_tau_s + np.exp(p[3:5])
-        return p[0] + np.exp(p[1]) * np.exp(-x / tau[0]) + np.exp(p[2]) * np.exp(-x / tau[1])
+    def parameters(q):
+        return floor + width / (1 + np.exp(-q))
 
-    p = np.array([np.median(v[-max(3, len(v) // 20) :]), np.log(max(top, scale * 0.1) * 0.6), np.log(max(top, scale * 0.1) * 0.4), np.log(span / 10 + 1e-9), np.log(span + 1e-9)])
+    def model(p, x):
+        return p[0] + p[1] * np.exp(-x / p[3]) + p[2] * np.exp(-x / p[4])
 
-    def loss(p):
-        r = (model(p) - v) / scale
+    def loss(q):
+        r = (model(parameters(q), x) - v) / zone
         return float((2 * (np.sqrt(1 + r * r) - 1)).sum())
 
-    best, damping = loss(p), 1e-2
+    best, damping = loss(q), 1e-2
     for _ in range(iterations):
-        r = (model(p) - v) / scale
+        p = parameters(q)
+        one, two = np.exp(-x / p[3]), np.exp(-x / p[4])
+        slopes = np.column_stack([np.ones_like(x), one, two, p[1] * one * x / p[3] ** 2, p[2] * two * x / p[4] ** 2])
+        r = (model(p, x) - v) / zone
         root = (1 + r * r) ** -0.25  # soft-L1 as reweighted least squares
-        step = 1e-6 * np.maximum(1.0, np.abs(p))
-        jacobian = np.column_stack([(model(p + step * e) - model(p - step * e)) / (2 * s) / scale for e, s in zip(np.eye(5), step)])
-        a, g = (jacobian * root[:, None]).T @ (jacobian * root[:, None]), (jacobian * root[:, None]).T @ (r * root)
-        new = p - np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
-        new[1:5] = np.clip(new[1:5], -40, 40)
+        jacobian = slopes * ((p - floor) * (1 - (p - floor) / width))[None, :] / zone * root[:, None]
+        a, g = jacobian.T @ jacobian, jacobian.T @ (r * root)
+        new = np.clip(q - np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0], -40, 40)
         trial = loss(new)
         if trial < best:
-            small = best - trial < 1e-10 * max(best, 1e-12)
-            p, best, damping = new, trial, max(damping / 5, 1e-12)
+            small = best - trial < 1e-12 * max(best, 1e-12)
+            q, best, damping = new, trial, max(damping / 5, 1e-12)
             if small:
                 break
         else:
             damping *= 5
             if damping > 1e12:
                 break
-    x = t - t[0]
-    tau = min_tau_s + np.exp(p[3:5])
-    return p[0] + np.exp(p[1]) * np.exp(-x / tau[0]) + np.exp(p[2]) * np.exp(-x / tau[1])
+    return model(parameters(q), t - t[0])

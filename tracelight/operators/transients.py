@@ -195,7 +195,7 @@ def cut_waveforms(samples: DataFrame, events: DataFrame, keys=RECORDING, *, pre_
 def calibrate_threshold(scores: DataFrame, keys=("channel",), *, estimator: str = "median_mad", multiplier: float = 6.0, quantile: float = 0.999, minimum: int = 20, context: dict | None = None) -> DataFrame:
     """A frozen score gate per channel and a fingerprint of how it came about; null with fewer than ``minimum`` scores."""
     keys = list(keys)
-    if estimator == "quantile":
+    if estimator in ("quantile", "empirical_quantile"):
         out = scores.groupBy(*keys).agg(F.count("score").alias("n_scores"), F.percentile("score", F.lit(quantile)).alias("gate"))
     else:
         middle = scores.groupBy(*keys).agg(F.percentile("score", F.lit(0.5)).alias("_m"))

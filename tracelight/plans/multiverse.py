@@ -13,16 +13,16 @@ from tracelight.plans.specs import MultiverseSpec, fingerprint, with_changes
 
 def materialize(spec: MultiverseSpec) -> list[dict]:
     """Universes in the order of the product: id, choices, whether it is the reference or forbidden, and its pipeline."""
-    names = [n.name for n in spec.nodes]
-    if len(set(names)) != len(names) or len(spec.reference) != len(names):
+    names = [n.name for n in spec.decision_nodes]
+    if len(set(names)) != len(names) or len(spec.reference_selection) != len(names):
         raise ValueError("nodes have distinct names and the reference one alternative of each")
     out = []
-    for choice in product(*[n.alternatives for n in spec.nodes]):
+    for choice in product(*[n.alternatives for n in spec.decision_nodes]):
         labels = tuple(zip(names, (a.label for a in choice)))
-        pipeline = spec.base
+        pipeline = spec.base_pipeline
         for a in choice:
             pipeline = with_changes(pipeline, a.changes)
-        out.append({"id": fingerprint(pipeline)[:16], "choices": labels, "pipeline": pipeline, "is_reference": tuple(x for _, x in labels) == spec.reference, "forbidden": any(rule <= set(labels) for rule in spec.forbidden)})
+        out.append({"id": fingerprint(pipeline)[:16], "choices": labels, "pipeline": pipeline, "is_reference": tuple(x for _, x in labels) == spec.reference_selection, "forbidden": any(rule <= set(labels) for rule in spec.compatibility_rules)})
     if sum(u["is_reference"] for u in out) != 1:
         raise ValueError("the reference is not one of the universes")
     return out
@@ -30,7 +30,7 @@ def materialize(spec: MultiverseSpec) -> list[dict]:
 
 def run_multiverse(spec: MultiverseSpec, samples: DataFrame, events: DataFrame, keys=("subject", "session")) -> dict:
     """Status of every universe (success, blocked, failed, incompatible) and the summary over them."""
-    clocks, cache = clock_facts(samples, keys), PrefixCache(samples, keys)
+    clocks, cache = clock_facts(samples, keys).persist(), PrefixCache(samples, keys)
     results = []
     try:
         for u in materialize(spec):
@@ -47,6 +47,7 @@ def run_multiverse(spec: MultiverseSpec, samples: DataFrame, events: DataFrame,
                 results.append(row | {"status": "failed", "reason": f"{type(error).__name__}: {error}"[:300]})
     finally:
         cache.close()
+        clocks.unpersist()
     return {"universes": results, "summary": summarize(spec, results), "shared_prefixes": cache.hits}
 
 
@@ -60,7 +61,7 @@ def summarize(spec: MultiverseSpec, results: list[dict]) -> dict:
     valid = sum(r["status"] != "incompatible" for r in results)
     share = lambda n: n / valid if valid else None
     decisions = {}
-    for node in spec.nodes:
+    for node in spec.decision_nodes:
         for a in node.alternatives:
             own = [r["estimate"] for r in results if r["status"] == "success" and r["estimate"] is not None and (node.name, a.label) in r["choices"]]
             decisions[f"{node.name}={a.label}"] = {"n": len(own), "median": median(own) if own else None}

@@ -9,59 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.operators import events as ev
-from tracelight.operators import inference, preprocess, qc, runs
-from tracelight.plans.specs import ASSUMPTIONS, BaselineDFF, Lowpass, PipelineSpec, ReferenceDFF, Resample, canonical, fingerprint
-
-
-def compatibility(spec: PipelineSpec, clocks: list[dict], variables: set[str]) -> list[dict]:
-    """Issues of an operation list against clocks and variables, without looking at values.
-
-    clocks: per recording ``session``, ``interval_cv`` and ``median_dt``."""
-    issues = []
-
-    def issue(code, session, step):
-        issues.append({"code": code, "session": session, "step": step})
-
-    for clock in clocks:
-        session, known = clock["session"], set(variables)
-        if not clock["median_dt"] or clock["interval_cv"] is None:
-            issue("invalid_time_axis", session, None)
-            continue
-        regular, rate = clock["interval_cv"] <= 1e-6, 1 / clock["median_dt"]
-        for step, op in enumerate(spec.preprocessing):
-            match op:
-                case Resample():
-                    problems = {
-                        "invalid_resampling_rate": op.rate_hz != "median" and op.rate_hz <= 0, "invalid_resampling_gap": op.max_gap_s is not None and op.max_gap_s <= 0,
-                        "ambiguous_resampling_gap_policy": op.max_gap_s is not None and op.max_gap_factor is not None, "invalid_resampling_gap_factor": op.max_gap_factor is not None and op.max_gap_factor <= 1,
-                    }
-                    found = [code for code, wrong in problems.items() if wrong]
-                    for code in found:
-                        issue(code, session, step)
-                    if not found:
-                        regular, rate = True, rate if op.rate_hz == "median" else op.rate_hz
-                case Lowpass():
-                    if op.cutoff_hz >= rate / 2:
-                        issue("filter_above_nyquist", session, step)
-                case ReferenceDFF():
-                    if "reference" not in known:
-                        issue("reference_channel_missing", session, step)
-                    known.add("dff")
-                case BaselineDFF():
-                    if op.variable not in known:
-                        issue("baseline_variable_missing", session, step)
-                    if op.method == "asls" and not regular:
-                        issue("asls_requires_regular_sampling", session, step)
-                    known.add("dff" if op.normalization == "divide" else "baseline_subtracted")
-        if spec.event_summary.variable not in known:
-            issue("event_summary_variable_missing", session, None)
-    return issues
-
-
-def clock_facts(samples: DataFrame, keys) -> list[dict]:
-    """One row per recording for ``compatibility``."""
+from tracelight.operators import inference, qc, runs
+from tracelight.plans.operations import apply_operation, violations
+from tracelight.plans.specs import ASSUMPTIONS, PipelineSpec, canonical, fingerprint
+
+
+def clock_facts(samples: DataFrame, keys) -> DataFrame:
+    """Per recording ``session``, ``interval_cv`` and ``median_dt``."""
     timed = runs.intervals_of(samples, keys).groupBy(*keys).agg((F.stddev_pop("dt") / F.avg("dt")).alias("interval_cv"), F.percentile("dt", F.lit(0.5)).alias("median_dt"))
-    return [r.asDict() for r in timed.select(F.concat_ws("/", *keys).alias("session"), "interval_cv", "median_dt").collect()]
+    return timed.select(F.concat_ws("/", *keys).alias("session"), "interval_cv", "median_dt")
+
+
+def compatibility(spec: PipelineSpec, clocks: DataFrame, variables: set[str]) -> list[dict]:
+    """Problems of a pipeline with the recordings' clocks and variables, by code and step; no value is looked at."""
+    return [r.asDict() for r in violations(spec.preprocessing, clocks, frozenset(variables), spec.event_summary.variable).collect()]
 
 
 class PrefixCache:
@@ -84,38 +45,16 @@ class PrefixCache:
                 table.unpersist()
 
 
-def apply_operation(samples: DataFrame, op, keys) -> DataFrame:
-    match op:
-        case Resample():
-            rate, gap = op.rate_hz, op.max_gap_s
-            if rate == "median" or op.max_gap_factor is not None:
-                middle = runs.clock_summary(samples, keys).agg(F.percentile("median_dt", F.lit(0.5))).first()[0]
-                rate, gap = (1 / middle if rate == "median" else rate), (gap if op.max_gap_factor is None else op.max_gap_factor * middle)
-            out = preprocess.resample(samples, keys, rate_hz=rate, max_gap_s=gap)
-            return out.withColumn("t", F.col("t_us") / 1e6)
-        case Lowpass():
-            for v in op.variables:
-                samples = preprocess.lowpass(samples, keys, cutoff_hz=op.cutoff_hz, order=op.order, value=v).drop(f"prefilter_{v}")
-            return samples
-        case ReferenceDFF():
-            return preprocess.reference_dff(samples, keys, method=op.method)
-        case BaselineDFF():
-            options = {k: int(v) if k in ("window_samples", "iterations") else v for k, v in op.options}
-            out = preprocess.baseline_dff(samples, keys, method=op.method, value=op.variable, normalization=op.normalization, **options)
-            return out if op.normalization == "divide" else out.withColumnRenamed("dff", "baseline_subtracted")
-    raise ValueError(f"unknown operation {op!r}")
-
-
 def plan(spec: PipelineSpec, n_units: int) -> dict:
     """The method a design calls for and the assumptions still to be acknowledged; executable when none is left."""
-    method = inference.recommend(n_units, assigned_to_unit=spec.contrast.assigned_to_unit, randomized=spec.contrast.randomized)
+    method = inference.recommend(n_units, assigned_to_unit=spec.design.assigned_to_unit, randomized=spec.design.randomized)
     missing = [a for a in ASSUMPTIONS[method] if a not in spec.acknowledged]
     return {"method": method, "missing_assumptions": missing, "executable": not missing, "fingerprint": fingerprint(spec)}
 
 
 def infer(cells: list[dict], spec: PipelineSpec, method: str, *, seed: int = 0) -> dict:
     """Estimate, interval and p from unit rows: ``contrast`` for paired designs, ``level`` and ``mean`` for others."""
-    c = spec.contrast
+    c = spec.design
     if method in ("welch_t", "label_permutation"):
         groups = defaultdict(list)
         for r in cells:
@@ -146,7 +85,7 @@ def run_pipeline(spec: PipelineSpec, samples: DataFrame, events: DataFrame, keys
     Quality is judged on the raw recordings. A blocked run keeps its ledger and has no result."""
     keys = list(keys)
     quality = qc.assess_signal_recording(samples, keys).select(*keys, "warnings").collect()
-    blocking = sorted({w for r in quality for w in r["warnings"] if w in spec.quality_gate.blocking})
+    blocking = sorted({w for r in quality for w in r["warnings"] if w in spec.quality_gate.blocking_warnings})
     ledger = {"fingerprint": fingerprint(spec), "spec": canonical(spec), "recordings": len(quality), "blocking": blocking}
     if blocking:
         return ledger | {"status": "blocked", "result": None}
@@ -155,7 +94,7 @@ def run_pipeline(spec: PipelineSpec, samples: DataFrame, events: DataFrame, keys
     try:
         ledger["dispositions"] = {r["disposition"]: r["count"] for r in summary.groupBy("disposition").count().collect()}
         outcome = {"delta": "delta", "response": "response_mean", "baseline": "baseline_mean"}[spec.event_summary.statistic]
-        c = spec.contrast
+        c = spec.design
         if c.assigned_to_unit:
             cells = inference.unit_means(summary, units=[c.unit], factor=c.factor, outcome=outcome).select(c.unit, F.col(c.factor).alias("level"), "mean")
         else:

@@ -50,14 +50,11 @@ def load_project(path: str | Path) -> Project:
     data = _known(tomllib.loads(raw.decode()), "")
     rec, ev, an = _known(data["recording"], "recording"), _known(data["events"], "events"), _known(data["analysis"], "analysis")
     channels = {name: (_known(c, "channels")["signal"], c.get("reference")) for name, c in rec["channels"].items()}
-    kind, method = an.get("preprocessing", "reference"), an.get("method", "irls")
-    steps: dict = {"reference": (specs.ReferenceDFF(method),), "baseline": (specs.BaselineDFF(method),)}
-    if kind not in steps:
-        raise ValueError(f"unknown preprocessing {kind!r}")
-    spec = specs.PipelineSpec(
-        steps[kind], specs.QualityGate(tuple(an.get("blocking", ()))), specs.EventSummary(tuple(an.get("baseline", (-0.5, 0.0))), tuple(an.get("response", (0.0, 0.5))), an.get("statistic", "delta")),
-        specs.Contrast("condition", an["numerator"], an["denominator"], randomized=bool(an.get("randomized", False))), tuple(an.get("acknowledged", ())),
+    config = specs.EventAnalysisConfig(
+        data.get("title", path.stem), an["numerator"], an["denominator"], channel=an["channel"], preprocessing_kind=an.get("preprocessing", "reference"), preprocessing_method=an.get("method", "irls"), statistic=an.get("statistic", "delta"),
+        **{k: an[k] for k in ("baseline", "response") if k in an}, randomized=bool(an.get("randomized", False)), acknowledged_assumptions=an.get("acknowledged", ()), blocking_warnings=an.get("blocking", ()),
     )
+    spec = specs.pipeline_of(config)
     sessions = tuple({**_known(s, "sessions"), "recording": str(path.parent / s["recording"]), "events": str(path.parent / s["events"])} for s in data["sessions"])
     return Project(
         data.get("title", path.stem), path.parent / data.get("output", "results"), sessions, tabular.RecordingColumns(rec["time"], channels, rec.get("unit", "seconds"), rec.get("delimiter")),
