@@ -170,6 +170,13 @@ def event_times(intervals: DataFrame, points: DataFrame | None = None, *, edge:
     return out if points is None else out.unionByName(points.select(*out.columns))
 
 
+def interval_encoding_inputs(intervals: DataFrame, keys=KEYS, *, edge: str = "onset") -> DataFrame:
+    """Per interval the event at its edge, its duration as the event's value, its bounds, and its place among the label's edges."""
+    at, other = {"onset": ("start_us", "stop_us"), "offset": ("stop_us", "start_us")}[edge]
+    order = Window.partitionBy(*keys, "label").orderBy(at, other, "interval_id")
+    return intervals.select(*keys, "label", F.row_number().over(order).alias("place"), F.col(at).alias("t_us"), duration_s().alias("duration_s"), "start_us", "stop_us")
+
+
 def fit_clock(matches: DataFrame, keys=("clock",), *, maximum_residual_s: float, maximum_drift_ppm: float, minimum_matches: int = 3, minimum_span_s: float = 1.0) -> DataFrame:
     """Least-squares map target = intercept + scale * source per clock, with its residuals, drift and whether it is accepted."""
     fit = matches.groupBy(*keys).agg(F.regr_slope("target_t", "source_t").alias("scale"), F.regr_intercept("target_t", "source_t").alias("intercept"), F.count("*").alias("n"), (F.max("source_t") - F.min("source_t")).alias("span_s"))

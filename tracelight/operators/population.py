@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelight.operators.inference import bootstrap_units, label_shuffle_p, sign_flip_p, simultaneous_band
@@ -148,3 +148,57 @@ def longitudinal_export(table: DataFrame, *, subject: str, session: str, trial:
     if comparable is not None:
         require(out.select("subject_id").distinct().join(comparable.where("status = 'not_comparable'"), F.col("subject_id") == F.col("subject"), "left_semi"), "a subject's sessions are not comparable")
     return out
+
+
+def curve_sessions(rows: DataFrame, *, axis: str, value: str, support: str | None = None, level: str | None = None, keys=("subject", "session"), named: str | None = None) -> DataFrame:
+    """Spectra, autocorrelations, lag curves or coherences of sessions as curves: ``axis``, ``value``, ``n`` and the level.
+
+    The level is a column (a state, a condition) or, with ``named``, one name for all; points without a value stay out."""
+    condition = F.lit(named) if level is None else F.col(level).cast("string")
+    curve = rows.select(*keys, condition.alias("condition"), F.col(axis).cast("double").alias("axis"), F.col(value).alias("value"), (F.col(support) if support else F.lit(1)).cast("long").alias("n"))
+    return curve.where("value is not null and condition is not null")
+
+
+def curve_population(curves: DataFrame, *, animal: str = "subject", session: str = "session") -> DataFrame:
+    """Session curves to animal curves, point by point, sessions weighing the same."""
+    return curves.groupBy(animal, "condition", "axis").agg(F.avg("value").alias("estimate"), F.sum("n").alias("support"), F.count_distinct(session).alias("sessions"))
+
+
+def state_band_power_population(psd: DataFrame, *, state: str, low: float, high: float, animal: str = "subject", session: str = "session") -> DataFrame:
+    """Band power of each session's states, then its mean over an animal's sessions: ready for ``infer_animals``."""
+    from tracelight.operators.spectral import band_power
+
+    power = band_power(psd, (animal, session, state), low=low, high=high).where("band_power is not null")
+    return power.groupBy(animal, F.col(state).cast("string").alias("condition")).agg(F.avg("band_power").alias("estimate"), F.count("*").alias("sessions"))
+
+
+def infer_curve_interaction(curves: DataFrame, assignments: DataFrame, *, conditions: tuple[str, str], groups: tuple[str, str], animal: str = "subject", level: str = "condition", group: str = "group", axis: str = "rel_idx") -> DataFrame:
+    """At each point, the difference between groups of animals in their difference between conditions, by Welch's t."""
+    from tracelight.operators.inference import interaction
+
+    return interaction(curves.withColumnRenamed("estimate", "mean"), assignments, unit=animal, condition=level, group=group, conditions=conditions, groups=groups, by=[axis])
+
+
+def isosbestic_metrics(samples: DataFrame, keys=("subject", "session", "channel"), *, max_lag: int, gap_factor: float | None = 1.5, max_gap_s: float | None = None) -> DataFrame:
+    """How a reference goes with its signal: correlation of run-centred values, spread against the signal's, and the
+    correlation of their steps at lag zero and where it is largest in size."""
+    from tracelight.operators.association import lagged_association
+    from tracelight.operators.runs import mark_runs
+
+    keys = list(keys)
+    both = samples.withColumn("_both", F.when(F.col("signal").isNotNull() & F.col("reference").isNotNull(), F.lit(1.0)))
+    marked = mark_runs(both, keys, value="_both", gap_factor=gap_factor, max_gap_s=max_gap_s)
+    run = Window.partitionBy(*keys, "run_id")
+    order = run.orderBy("t_us")
+    for name in ("signal", "reference"):
+        marked = marked.withColumn(f"_{name}", F.col(name) - F.avg(name).over(run)).withColumn(f"_d{name}", F.col(name) - F.lag(name).over(order))
+    spread = marked.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_signal").alias("_ss"), F.stddev_pop("_reference").alias("_rs"))
+    zero = lagged_association(samples, keys, max_lag=0, gap_factor=gap_factor, max_gap_s=max_gap_s).select(*keys, F.col("correlation").alias("zero_lag"))
+    ahead = [F.struct(F.lit(k).alias("lag"), (F.lead("_dreference", k).over(order) if k >= 0 else F.lag("_dreference", -k).over(order)).alias("r")) for k in range(-max_lag, max_lag + 1)]
+    pairs = marked.select(*keys, F.col("_dsignal").alias("x"), F.array(*ahead).alias("_ls")).select(*keys, "x", F.explode("_ls").alias("_l")).where("x is not null and _l.r is not null")
+    r = F.col("_l.r")
+    steps = pairs.groupBy(*keys, F.col("_l.lag").alias("lag")).agg((F.sum(F.col("x") * r) / F.sqrt(F.nullif(F.sum(F.col("x") ** 2) * F.sum(r * r), F.lit(0.0)))).alias("c"))
+    best = F.struct(F.round(F.abs("c"), 9).alias("size"), (-F.col("lag")).alias("first"))
+    steps = steps.where("c is not null").groupBy(*keys).agg(F.max(F.when(F.col("lag") == 0, F.col("c"))).alias("step_zero"), F.max_by("c", best).alias("step_best"), F.max_by("lag", best).alias("best_lag"))
+    out = spread.join(zero, keys, "left").join(steps, keys, "left")
+    return out.withColumn("sd_ratio", F.col("_rs") / F.greatest("_ss", F.lit(2.220446049250313e-16))).withColumn("lag_improvement", F.abs("step_best") - F.abs("step_zero")).drop("_ss", "_rs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,23 +30,42 @@ def _windows(marked: DataFrame, keys, n: int, step: int) -> DataFrame:
     return listed.withColumn("k", F.col("_i") - F.col("window") * step).drop("_i", "_n")
 
 
-def _spectra(pdf: pd.DataFrame, values: list[str], n: int, rate: float, detrend: str) -> list[np.ndarray]:
+def _spectra(x: np.ndarray, rate: float, detrend: str) -> np.ndarray:
+    """Hann-weighted spectra of windows, one in each row."""
+    n = x.shape[1]
+    if detrend in ("constant", "linear"):
+        x = x - x.mean(axis=1, keepdims=True)
+    if detrend == "linear":
+        t = np.arange(n) - (n - 1) / 2
+        x = x - np.outer(x @ t, t) / (t @ t)
     weight = hann(n)
-    out = []
-    for v in values:
-        x = pdf[v].to_numpy(dtype=float)
-        if detrend == "constant":
-            x = x - x.mean()
-        elif detrend == "linear":
-            t = np.arange(n) - (n - 1) / 2
-            x = x - x.mean() - t * (t @ x) / (t @ t)
-        out.append(np.fft.rfft(x * weight) / math.sqrt(rate * float(weight @ weight)))
-    return out
+    return np.fft.rfft(x * weight, axis=1) / math.sqrt(rate * float(weight @ weight))
+
+
+def _by_bin(rows: DataFrame, by: list[str], values: list[str], made: list[str], measure, *, n: int, rate: float, detrend: str) -> DataFrame:
+    """Windows gathered to one row each, transformed many at a time, and laid out as a row for each window and bin.
+
+    ``measure`` turns the spectra of the values (windows by bins) into the columns ``made``."""
+    gathered = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", *values))).alias("_w"), F.min("t_us").alias("_a"), F.max("t_us").alias("_b"))
+    gathered = gathered.select(*by, F.floor((F.col("_a") + F.col("_b")) / 2).cast("long").alias("center_us"), *[F.col(f"_w.{v}").cast("array<double>").alias(f"_{v}") for v in values])
+    kept = [*by, "center_us"]
+    schema = T.StructType([*[gathered.schema[c] for c in kept], T.StructField("bin", T.LongType()), T.StructField("frequency_hz", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in made]])
+
+    def transform(batches):
+        for batch in batches:
+            spectra = [_spectra(np.asarray(batch.column(len(kept) + i).flatten()).reshape(-1, n), rate, detrend) for i in range(len(values))]
+            windows, bins = batch.num_rows, n // 2 + 1
+            row = pa.array(np.repeat(np.arange(windows), bins))
+            place = np.tile(np.arange(bins), windows)
+            columns = [batch.column(i).take(row) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place), pa.array(place * rate / n), *[pa.array(np.ascontiguousarray(m).ravel()) for m in measure(*spectra)]], names=schema.fieldNames())
+
+    return gathered.mapInArrow(transform, schema)
 
 
 def _one_sided(power: np.ndarray, n: int) -> np.ndarray:
     power = power.copy()
-    power[1 : -1 if n % 2 == 0 else None] *= 2
+    power[:, 1 : -1 if n % 2 == 0 else None] *= 2
     return power
 
 
@@ -60,18 +79,8 @@ def spectrogram(samples: DataFrame, keys=RECORDING, *, rate_hz: float, window_s:
     marked = mark_runs(samples, keys, value=value, gap_factor=1.5, partition=partition)
     extra = [partition] if partition else []
     rows = _windows(marked.select(*keys, *extra, "run_id", "t_us", value), keys, n, step)
-    schema = T.StructType([*[samples.schema[k] for k in [*keys, *extra]], T.StructField("run_id", T.LongType()), T.StructField("window", T.LongType()), T.StructField("center_us", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("frequency_hz", T.DoubleType()), T.StructField("power", T.DoubleType())])
-
-    def density(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        power = _one_sided(np.abs(_spectra(pdf, [value], n, rate_hz, detrend)[0]) ** 2, n)
-        head = pdf.iloc[0]
-        out = pd.DataFrame({c: [head[c]] * len(power) for c in [*keys, *extra, "run_id", "window"]})
-        out["center_us"] = int((pdf["t_us"].iloc[0] + pdf["t_us"].iloc[-1]) // 2)
-        out["bin"], out["frequency_hz"], out["power"] = np.arange(len(power)), np.arange(len(power)) * rate_hz / n, power
-        return out[schema.fieldNames()]
-
-    return rows.groupBy(*keys, "run_id", "window").applyInPandas(density, schema)
+    density = lambda x: [_one_sided(np.abs(x) ** 2, n)]
+    return _by_bin(rows, [*keys, *extra, "run_id", "window"], [value], ["power"], density, n=n, rate=rate_hz, detrend=detrend)
 
 
 def welch_psd(windows: DataFrame, keys=RECORDING, *, partition: str | None = None) -> DataFrame:
@@ -128,20 +137,12 @@ def coherence(samples: DataFrame, keys=RECORDING, *, first: str = "signal", seco
     marked = mark_runs(both, keys, value="_both", gap_factor=1.5, partition=partition)
     rows = _windows(marked.select(*keys, *extra, "run_id", "t_us", first, second), keys, n, step)
     names = ("pxx", "pyy", "pxy_re", "pxy_im")
-    schema = T.StructType([*[samples.schema[k] for k in [*keys, *extra]], T.StructField("bin", T.LongType()), T.StructField("frequency_hz", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in names]])
-
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        x, y = _spectra(pdf, [first, second], n, rate_hz, detrend)
-        head = pdf.iloc[0]
-        out = pd.DataFrame({c: [head[c]] * len(x) for c in [*keys, *extra]})
-        pxy = np.conj(x) * y
-        out["bin"], out["frequency_hz"] = np.arange(len(x)), np.arange(len(x)) * rate_hz / n
-        for c, v in zip(names, (np.abs(x) ** 2, np.abs(y) ** 2, pxy.real, pxy.imag)):
-            out[c] = v
-        return out[schema.fieldNames()]
-
-    spectra = rows.groupBy(*keys, "run_id", "window").applyInPandas(cross, schema)
+
+    def cross(x, y):
+        both = np.conj(x) * y
+        return [np.abs(x) ** 2, np.abs(y) ** 2, both.real, both.imag]
+
+    spectra = _by_bin(rows, [*keys, *extra, "run_id", "window"], [first, second], list(names), cross, n=n, rate=rate_hz, detrend=detrend)
     pooled = spectra.groupBy(*keys, *extra, "bin", "frequency_hz").agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("windows"))
     size = F.col("pxy_re") ** 2 + F.col("pxy_im") ** 2
     return pooled.withColumn("coherence", F.when(F.col("pxx") * F.col("pyy") > 0, size / (F.col("pxx") * F.col("pyy")))).withColumn("phase_rad", F.atan2("pxy_im", "pxy_re"))

@@ -333,5 +333,5 @@ IntervalPolicy = declare("IntervalPolicy", _policy, (("operations share an id",
 
 # -- made-up signals
 
-#: Shape of a made-up transient: a width, a rise and a decay, or a pair some samples apart.
-TransientSpec = declare("TransientSpec", family=P(kind=str), transient_class=P(among=("gaussian", "biexponential", "pair")), width_samples=P(None, above=0), rise_samples=P(None, above=0), decay_samples=P(None, above=0), separation_samples=P(None, above=0))
+#: Shape of a made-up transient: a bell, a rise and a decay, or a bell and a smaller one against it some samples later.
+TransientSpec = declare("TransientSpec", family=P(among=("gaussian", "alpha", "biphasic")), transient_class=P(kind=str), width_samples=P(None, above=0), rise_samples=P(None, above=0), decay_samples=P(None, above=0), separation_samples=P(None, above=0))

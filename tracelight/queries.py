@@ -405,7 +405,11 @@ def band_power(spark, d):
     return spectral.band_power(_psd(spark, d), ("subject",), low=1.0, high=4.0).withColumn("band_power", r6(F.col("band_power")))
 
 
-@query()
+@query("""with r as (select *, lag(signal, 2) over (partition by subject, session order by idx) as reference from traces), j as (select *, idx - s as k from (select *, unnest([2, 18]) as s from r) where idx - s between 0 and 31),
+w as (select *, (signal - avg(signal) over p) * (0.5 - 0.5 * cos(2 * pi() * k / 32)) as v, (reference - avg(reference) over p) * (0.5 - 0.5 * cos(2 * pi() * k / 32)) as u from j window p as (partition by subject, session, s)),
+f as (select subject, session, s, b as bin, sum(v * cos(b * k * (2 * pi() / 32))) as xr, -sum(v * sin(b * k * (2 * pi() / 32))) as xi, sum(u * cos(b * k * (2 * pi() / 32))) as yr, -sum(u * sin(b * k * (2 * pi() / 32))) as yi from (select *, unnest(range(2, 9)) as b from w) group by all),
+p as (select subject, session, bin, avg(xr * xr + xi * xi) as pxx, avg(yr * yr + yi * yi) as pyy, avg(xr * yr + xi * yi) as re, avg(xr * yi - xi * yr) as im from f group by all),
+c as (select subject, session, avg((re * re + im * im) / (pxx * pyy)) as c from p group by all) select subject, round(avg(c), 6) as band_coherence from c group by all""", "traces")
 def coherence(spark, d):
     both = views.traces(spark, d).withColumn("reference", F.lag("signal", 2).over(Window.partitionBy(*KEYS).orderBy("idx")))
     out = spectral.coherence(both, ("subject", "session"), rate_hz=views.RATE_HZ, window_s=1.6, overlap=0.5)
@@ -692,3 +696,6 @@ def sensor_validity(spark, d):
     assigned = quality.select("subject", F.lit("indicator").alias("sensor"), F.lit(470.0).alias("excitation_nm"), F.lit(520.0).alias("emission_nm"))
     profiles = spark.createDataFrame([("indicator", 450.0, 490.0, 500.0, 550.0)], "sensor string, excitation_min_nm double, excitation_max_nm double, emission_min_nm double, emission_max_nm double")
     return population.assess_sensor_validity(quality, assigned, profiles, ("subject",)).select("subject", "status")
+
+
+from tracelight import queries_more  # noqa: E402, F401  registers the rest
