@@ -232,6 +232,20 @@ def test_suffix_dedup_over_many_chunks(docs, monkeypatch):
     assert got == windows_brute(ROWS)
 
 
+@pytest.mark.parametrize("hot_anchor", [1, 3, 50])
+def test_hot_anchors_lose_nothing(spark, docs, monkeypatch, hot_anchor):
+    """Windows of frequent anchors, dealt one by one, are removed as they are together."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_TEXT", 4000)
+    got = collected(suffix_dedup.suffix_dedup(docs, hot_anchor=hot_anchor), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == windows_brute(ROWS)
+    rng = random.Random(4)
+    line = "this very line stands in all of the documents, whatever is around it"
+    rows = [(i, f"{rng.random()} {line}{'!' if i % 2 else ''} {rng.random()} {line}", None, None, 0, 0, 0, "", 0) for i in range(60)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), hot_anchor=hot_anchor)
+    assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == windows_brute(rows)
+
+
 @pytest.mark.parametrize("memory", [0, 200, 1 << 20])
 def test_induced_sort_orders_suffixes(memory):
     rng = np.random.default_rng(4)

@@ -4,7 +4,9 @@ Equal strings of MATCH bytes have the same anchor: of the GRAM-byte strings they
 the least hash. So each window of MATCH bytes is sent to the shard of its anchor, and equal windows
 meet there. Only anchors seen in two documents travel at all, as regions (the windows that share one
 anchor occurrence, overlapping); each shard orders the suffixes of its regions by external induced
-sorting, and runs of suffixes with MATCH bytes in common tell each window's smallest document."""
+sorting, and runs of suffixes with MATCH bytes in common tell each window's smallest document. An
+anchor of very many occurrences would make its shard grow with the corpus; its windows are regions by
+themselves, dealt by their own hashes."""
 
 from __future__ import annotations
 
@@ -28,6 +30,8 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of text behind one bucket of anchor hashes, and behind one shard of regions.
 BUCKET_TEXT = 16 << 20
 SHARD_TEXT = 2 << 20
+#: An anchor that occurs so often is hot: its windows go to shards of their own rather than all to the anchor's.
+HOT_ANCHOR = 8192
 #: Replies up to so many bytes are broadcast to the chunks; more meet them in a shuffled join.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of queues a shard keeps in memory; the rest is on disk.
@@ -53,6 +57,15 @@ def _gram_hash(buffer: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return h
 
 
+def _window_hash(buffer: np.ndarray, at: np.ndarray, match: int) -> np.ndarray:
+    """64-bit hashes of the ``match`` bytes from the given places."""
+    words = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
+    h = np.full(len(at), match, np.uint64)
+    for shift in (*range(0, match - 7, 8), match - 8):
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + words[at + shift])
+    return h
+
+
 def anchors(text: bytes, sizes: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share an anchor: (first window, windows, document number, anchor hash).
 
@@ -128,49 +141,56 @@ def _chunk_rows(batch):
 
 
 def _places(document: np.ndarray, keys: np.ndarray, buckets: int):
-    """Distinct anchor hashes of a chunk by bucket: (bucket and 32-bit hash in one, whether two documents have it, place of each anchor)."""
+    """Distinct anchor hashes of a chunk by bucket: (bucket and 32-bit hash in one, whether two documents have it and how often it occurs, place of each anchor)."""
     joined = ((keys >> _U(32)) % _U(buckets) << _U(32)) | (keys & _U(0xFFFFFFFF))
     distinct, place = np.unique(joined, return_inverse=True)
     least, most = np.full(len(distinct), 1 << 60), np.full(len(distinct), -1)
     np.minimum.at(least, place, document)
     np.maximum.at(most, place, document)
-    return distinct, least != most, place
+    often = np.minimum(np.bincount(place, minlength=len(distinct)), 0x7FFF)
+    return distinct, (often | (least != most).astype(np.int64) << 15).astype("<u2"), place
 
 
 def _anchor_rows(buckets: int, match: int):
-    """Per chunk and bucket: the 32-bit hashes and which of them occur in two documents of the chunk."""
+    """Per chunk and bucket: the 32-bit hashes, how often each occurs in the chunk and whether in two documents."""
 
     def run(batches):
         for batch in batches:
             for chunk, _, sizes, text in _chunk_rows(batch):
                 _, _, document, keys = anchors(text, sizes, match)
-                distinct, twice, _ = _places(document, keys, buckets)
+                distinct, seen, _ = _places(document, keys, buckets)
                 bucket = (distinct >> _U(32)).astype(np.int64)
                 cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
-                rows = [(int(bucket[s]), chunk, distinct[s:e].astype("<u4").tobytes(), np.packbits(twice[s:e]).tobytes()) for s, e in zip(cuts[:-1], cuts[1:])]
+                rows = [(int(bucket[s]), chunk, distinct[s:e].astype("<u4").tobytes(), seen[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:])]
                 columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "seen"])
 
     return run
 
 
-def _repeated(batches):
-    """Per chunk and bucket: which hashes occur in two documents anywhere. Holds the hashes of its buckets."""
-    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-    if not rows:
-        return
-    hashes = [np.frombuffer(r[2], "<u4") for r in rows]
-    joined = np.concatenate([h.astype(np.uint64) | _U(r[0]) << _U(32) for h, r in zip(hashes, rows)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(h)) for h, r in zip(hashes, rows)]).astype(bool)
-    order = np.argsort(joined, kind="stable")
-    own = joined[order]
-    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    counts = np.diff(np.append(starts, len(own)))
-    again = np.empty(len(own), bool)
-    again[order] = np.repeat((counts > 1) | np.logical_or.reduceat(twice[order], starts), counts)
-    cuts = np.cumsum([0, *map(len, hashes)])
-    bits = [np.packbits(again[s:e]).tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
-    yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["chunk", "part", "reply"])
+def _repeated(hot_anchor: int):
+    """Per chunk and bucket, a bit for each hash: whether it occurs in two documents anywhere; then, if any is hot, another: whether it is. Holds the hashes of its buckets."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        if not rows:
+            return
+        hashes = [np.frombuffer(r[2], "<u4") for r in rows]
+        joined = np.concatenate([h.astype(np.uint64) | _U(r[0]) << _U(32) for h, r in zip(hashes, rows)])
+        seen = np.concatenate([np.frombuffer(r[3], "<u2") for r in rows])
+        order = np.argsort(joined, kind="stable")
+        own, seen = joined[order], seen[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+        counts = np.diff(np.append(starts, len(own)))
+        flags = np.empty((2, len(own)), bool)
+        if len(own):
+            flags[0, order] = np.repeat((counts > 1) | np.logical_or.reduceat(seen >> 15, starts).astype(bool), counts)
+            flags[1, order] = np.repeat(np.add.reduceat((seen & 0x7FFF).astype(np.int64), starts) >= hot_anchor, counts)
+        cuts = np.cumsum([0, *map(len, hashes)])
+        bits = [np.packbits(flags[0, s:e]).tobytes() + (np.packbits(flags[1, s:e]).tobytes() if flags[1, s:e].any() else b"") for s, e in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["chunk", "part", "reply"])
+
+    return run
 
 
 #: shard -1 holds what the chunk itself needs later: its windows' runs and the region each repeats.
@@ -178,7 +198,10 @@ REGION = T.StructType([T.StructField("shard", T.LongType()), T.StructField("chun
 
 
 def _region_rows(buckets: int, shards: int, match: int):
-    """Regions of repeated anchors, each distinct one of a chunk once, with the smallest id that has it."""
+    """Regions of repeated anchors, each distinct one of a chunk once, with the smallest id that has it.
+
+    All regions of an anchor go to one shard, but for hot anchors: each of their windows is a region of its own there,
+    and goes to the shard of its own hash, where equal windows meet as well."""
 
     def run(batches):
         for batch in batches:
@@ -186,12 +209,22 @@ def _region_rows(buckets: int, shards: int, match: int):
                 first, count, document, keys = anchors(text, sizes, match)
                 distinct, _, place = _places(document, keys, buckets)
                 bucket = (distinct >> _U(32)).astype(np.int64)
-                again = np.zeros(len(distinct), bool)
+                again, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
                 for r in reply or []:
                     s, e = np.searchsorted(bucket, [r["part"], r["part"] + 1])
-                    again[s:e] = np.unpackbits(np.frombuffer(r["reply"], np.uint8), count=e - s)
+                    bits = np.frombuffer(r["reply"], np.uint8)
+                    again[s:e] = np.unpackbits(bits, count=e - s)
+                    if len(bits) > -(-(e - s) // 8):
+                        hot[s:e] = np.unpackbits(bits[-(-(e - s) // 8) :], count=e - s)
                 take = np.flatnonzero(again[place])
+                own = hot[place][take]
                 first, count, document, keys = first[take], count[take], document[take], keys[take]
+                if own.any():
+                    parts = np.where(own, count, 1)
+                    which = np.repeat(np.arange(len(parts)), parts)
+                    first = first[which] + np.where(own[which], np.arange(len(which)) - (np.cumsum(parts) - parts)[which], 0)
+                    count, document, keys, own = np.where(own, 1, count)[which], document[which], keys[which], own[which]
+                    keys = np.where(own, _window_hash(np.frombuffer(text, np.uint8), first, match), keys)
                 shard = ((keys >> _U(17)) % _U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 first, count, document, keys, shard = first[order], count[order], document[order], keys[order], shard[order]
@@ -374,15 +407,17 @@ def _with_replies(chunks: DataFrame, replies: DataFrame, more: DataFrame | None
 
 
 @tidy
-def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, memory: int = MEMORY) -> DataFrame:
+def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, memory: int = MEMORY, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """Per input row: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     A byte goes if a string of ``match`` bytes that covers it also starts in a document with a smaller
     id; strings are judged on the input. Of equal texts, the smallest id stands for all: the others
     go whole, if they have ``match`` bytes. Null texts are empty, and empty texts lose nothing. Rows
-    repeated with one id do not remove each other; a null id counts as larger than all others. Very
-    long texts are chunks of their own. Further columns are ignored; an empty table gives no rows."""
-    spark = df.sparkSession
+    repeated with one id do not remove each other; a null id counts as larger than all others, and so
+    does the largest 64-bit integer, which comes back as null; ids must be integers. Very long texts are
+    chunks of their own. Further columns are ignored; an empty table gives no rows."""
+    if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} is no integer")
     last = (1 << 63) - 1
     source = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     source = source.withColumn("digest", F.unhex(F.sha2("text", 256)))
@@ -399,9 +434,9 @@ def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     path_options = {"parquet.block.size": str(8 << 20)}
     chunks = materialize(chunks, "suffix-chunks", path_options)
     buckets, shards = max(1, size // BUCKET_TEXT), max(1, size // SHARD_TEXT)
-    sent = chunks.mapInArrow(_anchor_rows(buckets, match), "bucket long, chunk long, keys binary, twice binary")
+    sent = chunks.mapInArrow(_anchor_rows(buckets, match), "bucket long, chunk long, keys binary, seen binary")
     kind = "chunk long, part long, reply binary"
-    found = materialize(sent.repartition(max(1, buckets // 2), "bucket").mapInArrow(_repeated, kind), "suffix-anchors")
+    found = materialize(sent.repartition(max(1, buckets // 2), "bucket").mapInArrow(_repeated(hot_anchor), kind), "suffix-anchors")
     regions = materialize(_with_replies(chunks, found).mapInArrow(_region_rows(buckets, shards, match), REGION), "suffix-regions")
     inside = regions.where("shard >= 0")
     replies = materialize(inside.repartition(shards, "shard").mapInArrow(_shard_replies(match, memory), kind), "suffix-replies")
