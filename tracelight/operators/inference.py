@@ -126,7 +126,7 @@ def label_shuffle_p(a: np.ndarray, b: np.ndarray, *, resamples: int = 10_000, se
     from math import comb
 
     pool, k = np.concatenate([a, b]), len(a)
-    observed = abs(float(a.mean() - b.mean())) - 1e-12
+    observed = abs(float(a.mean() - b.mean())) - 1e-12 * max(1.0, float(np.abs(pool).max()))
     total = pool.sum()
     if comb(len(pool), k) <= resamples:
         sums = np.array([pool[list(c)].sum() for c in combinations(range(len(pool)), k)])

@@ -271,7 +271,11 @@ def interval_overlaps(spark, d):
     return intervals.overlapping(views.bouts(spark, d), ("subject",)).select("interval_id")
 
 
-@query()
+@query("""with b as (select *, case label when 'purchase' then 0 when 'error' then 1 when 'signup' then 2 else 3 end as r from bouts), e as (select distinct subject, session, unnest([start_us, stop_us]) as a from b),
+s as (select *, lead(a) over (partition by subject, session order by a) as z from e),
+w as (select s.subject, s.session, a, z, arg_min(interval_id, (r, start_us, stop_us, interval_id)) as id, arg_min(label, (r, start_us, stop_us, interval_id)) as label from s join b on b.subject = s.subject and b.session = s.session and start_us <= a and stop_us >= z group by all),
+p as (select *, (id is distinct from lag(id) over o or lag(z) over o is distinct from a)::int as new from w window o as (partition by subject, session order by a))
+select label, sum(new)::bigint as pieces, round(sum((z - a) / 1e6), 6) as seconds from p group by label""", "samples", "bouts")
 def interval_priority_trim(spark, d):
     out = intervals.resolve_overlaps(views.bouts(spark, d), ["purchase", "error", "signup"])
     return out.groupBy("label").agg(F.count("*").alias("pieces"), r6(F.sum((F.col("stop_us") - F.col("start_us")) / 1e6)).alias("seconds"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelight import views
-from tracelight.operators import events, intervals, population, preprocess, reconstruction, simulate, spectral
+from tracelight.operators import association, events, inference, intervals, population, preprocess, reconstruction, simulate, spectral
 from tracelight.plans import operations, specs
 from tracelight.plans.pipeline import clock_facts
 from tracelight.queries import ALIGN, HOUR, LAGS, query
+from tracelight.sources import tabular
 from tracelight.views import KEYS
 
 
@@ -291,3 +296,104 @@ t as (select subject, max(case when l = 0 then r end) as r0, arg_max(r, (round(a
 def isosbestic(spark, d):
     out = population.isosbestic_metrics(views.samples(spark, d), ("subject",), max_lag=2, gap_factor=None, max_gap_s=4 * HOUR)
     return rounded(out, "zero_lag", "sd_ratio", "step_zero", "step_best", "lag_improvement").select("subject", "n", "zero_lag", "sd_ratio", "step_zero", "step_best", "best_lag", "lag_improvement")
+
+
+# -- associations with a covariate and against blocks
+
+SHIFTED = """r as (select *, lag(signal, 2) over (partition by subject, session order by idx) as reference from traces), k as (select * from r where reference is not null)"""
+
+
+def _shifted(spark, d):
+    return views.traces(spark, d).withColumn("reference", F.lag("signal", 2).over(Window.partitionBy(*KEYS).orderBy("idx")))
+
+
+@query("with " + SHIFTED + """, f as (select *, covar_pop(signal, idx) over p / var_pop(idx) over p as sx, covar_pop(reference, idx) over p / var_pop(idx) over p as sy, avg(signal) over p as mx, avg(reference) over p as my, avg(idx) over p as mi from k window p as (partition by subject, session)),
+c as (select subject, session, idx, signal - mx - sx * (idx - mi) as x, reference - my - sy * (idx - mi) as y from f)
+select a.subject, a.session, l as lag, round(sum(a.x * b.y) / sqrt(sum(a.x * a.x) * sum(b.y * b.y)), 6) as correlation, count(*) as n_pairs from (select *, unnest(range(-1, 2)) as l from c) a join c b on a.subject = b.subject and a.session = b.session and b.idx = a.idx + l group by all""", "traces")
+def residual_lags(spark, d):
+    return rounded(association.lagged_association(_shifted(spark, d), KEYS, max_lag=1, covariate="idx"), "correlation").select(*KEYS, "lag", "correlation", "n_pairs")
+
+
+@query("with " + SHIFTED + """, c as (select subject, session, idx, signal - avg(signal) over p as x, reference - avg(reference) over p as y from k window p as (partition by subject, session))
+select subject, session, count(*) // 10 as blocks, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) as zero_lag, true as p_possible from c where idx < 62 group by all""", "traces")
+def block_permutation(spark, d):
+    """Blocks and zero-lag correlation; the drawn p value is only held to the values that 19 draws can give."""
+    out = association.blocked_permutation(_shifted(spark, d), KEYS, block=10, resamples=19)
+    twentieths = F.col("p_value") * 20
+    return rounded(out, "zero_lag").select(*KEYS, "blocks", "zero_lag", ((F.abs(twentieths - F.round(twentieths)) < 1e-9) & twentieths.between(1 - 1e-9, 20 + 1e-9)).alias("p_possible"))
+
+
+# -- designs judged before outcomes
+
+@query("""with m(ch, a, b) as (values (1, 2::double, 0.5::double), (2, 0.25, 3), (3, 1, 1)), g as (select sum(a * a) as p, sum(a * b) as q, sum(b * b) as r from m), e as (select (p + r) / 2 as mid, sqrt(((p - r) / 2) ** 2 + q * q) as off from g)
+select case when mid - off > 0 then 2 else 1 end::bigint as rank, round(sqrt((mid + off) / (mid - off)), 6) as condition, sqrt((mid + off) / (mid - off)) <= 1000 as identifiable, (select count(*) from m x, m y where x.ch < y.ch and x.a * y.b <> x.b * y.a) as solvable from e""")
+def mixing_design(spark, d):
+    found = association.assess_mixing(np.array([[2, 0.5], [0.25, 3], [1, 1]]))
+    return spark.createDataFrame([(found["rank"], round(found["condition"], 6), found["identifiable"], sum(found["solvable_without"]))], "rank long, condition double, identifiable boolean, solvable long")
+
+
+@query("""with k as (select i, exp(-i * 0.05 / 0.5) - exp(-i * 0.05 / 0.1) as v from range(0, 60) as r(i)) select i as place, round(v / sum(v) over (), 9) as weight from k""")
+def kinetic_kernel(spark, d):
+    weights = association.kinetic_kernel(0.1, 0.5, 0.05)
+    return spark.createDataFrame([(i, round(float(w), 9)) for i, w in enumerate(weights)], "place long, weight double")
+
+
+# -- independent units
+
+UNITS = """u as (select o_custkey as animal, avg(o_totalprice) as mean from orders group by all), g as (select animal, mean, c_mktsegment from u join customer on c_custkey = animal where c_mktsegment in ('BUILDING', 'MACHINERY')),
+s as (select sum(mean) filter (c_mktsegment = 'BUILDING') as sa, count(*) filter (c_mktsegment = 'BUILDING') as na, sum(mean) filter (c_mktsegment = 'MACHINERY') as sb, count(*) filter (c_mktsegment = 'MACHINERY') as nb from g)"""
+
+
+@query("with " + UNITS + """, w as (select animal, c_mktsegment, case when c_mktsegment = 'BUILDING' then (sa - mean) / (na - 1) - sb / nb else sa / na - (sb - mean) / (nb - 1) end as without, sa / na - sb / nb as whole from g, s where na > 1 and nb > 1)
+select animal, c_mktsegment, round(without, 4) as without, round(without - whole, 4) as shift from w""")
+def unit_influence(spark, d):
+    means = views.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("animal")).agg(F.avg("o_totalprice").alias("mean"))
+    cells = means.join(views.table(spark, d, "customer").select(F.col("c_custkey").alias("animal"), "c_mktsegment"), "animal")
+    return rounded(inference.influence(cells, unit="animal", factor="c_mktsegment", numerator="BUILDING", denominator="MACHINERY"), "without", "shift", digits=4)
+
+
+@query("""with u as (select n_regionkey as g, n_nationkey as k, avg(o_totalprice) as m from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey where n_regionkey in (0, 1) group by all),
+l as (select list(m order by g, k) as v, count(*) filter (g = 0) as na, count(*) as n, abs(avg(m) filter (g = 0) - avg(m) filter (g = 1)) as d, sum(m) as tot from u), x as (select *, unnest(range(0, 1::bigint << n)) as mask from l),
+y as (select mask, na, n, d, tot, sum(case when (mask >> i) & 1 = 1 then v[i + 1] else 0 end) as s from (select *, unnest(range(0, n)) as i from x where bit_count(mask) = na) group by all)
+select round((1 + count(*) filter (abs(s / na - (tot - s) / (n - na)) >= d - 1e-6)) / (count(*) + 1), 9) as p_value, max(n) as units from y""")
+def label_permutation(spark, d):
+    orders = views.table(spark, d, "orders").join(views.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nations = views.table(spark, d, "nation").where("n_regionkey in (0, 1)")
+    cells = orders.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.avg("o_totalprice").alias("mean"))
+    rows = cells.collect()  # a row for each unit
+    a, b = (np.array([r["mean"] for r in rows if r["n_regionkey"] == level]) for level in (0, 1))
+    return spark.createDataFrame([(round(inference.label_shuffle_p(a, b), 9), len(rows))], "p_value double, units long")
+
+
+# -- delimited files
+
+EPOCH_US = 1_704_067_200_000_000
+
+
+def _folder(spark, name: str) -> str:
+    """A new path in the shared folder; a machine's own folder serves local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp()}/{uuid.uuid4().hex}-{name}"
+
+
+def _seconds(column: str = "t_us"):
+    return F.format_string("%.6f", (F.col(column) - EPOCH_US) / 1e6)
+
+
+@query(f"select 'made-up' as subject, 's1' as session, 'green' as channel, t_us - {EPOCH_US} as t_us, signal, reference from samples", "samples")
+def tabular_recording(spark, d):
+    path = _folder(spark, "recording.csv")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c)
+    views.samples(spark, d).select(_seconds().alias("time"), shown("signal"), shown("reference")).write.option("header", True).csv(path)
+    return tabular.load_recording(spark, path, tabular.RecordingColumns("time", {"green": ("signal", "reference")}), subject="made-up", session="s1").select(*KEYS, "channel", "t_us", "signal", "reference")
+
+
+@query(f"select 'made-up' as subject, 's1' as session, event_id, t_us - {EPOCH_US} as t_us, condition, condition = 'error' as failed, event_id::bigint % 7 as trial, (event_id::bigint % 7) / 4.0::double as score from markers", "samples", "markers")
+def tabular_events(spark, d):
+    path, trial = _folder(spark, "events.tsv"), F.col("event_id").cast("long") % 7
+    failed = F.when(F.col("condition") == "error", "yes").otherwise("FALSE")
+    views.markers(spark, d).select(_seconds().alias("onset"), "event_id", "condition", failed.alias("failed"), trial.alias("trial"), (trial / 4).alias("score")).write.option("header", True).option("sep", "\t").csv(path)
+    kinds = {"condition": "string", "failed": "bool", "trial": "int", "score": "float"}
+    return tabular.load_events(spark, path, tabular.EventColumns("onset", "event_id", kinds), subject="made-up", session="s1")
