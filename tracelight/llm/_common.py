@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -51,6 +52,23 @@ def pieces(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 <<
         at = stop
 
 
+def give_back(run):
+    """``run`` over a task's batches; at its end, what the worker has freed goes back to the system.
+
+    Workers outlive tasks, and their allocators keep the pages of a task's texts for a later one, beside the memory
+    of the JVM that needs them by then."""
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import small_batches
+from tracelight.llm._common import give_back, small_batches
 
 UNDETERMINED = "und"
 
@@ -164,4 +164,4 @@ def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
                     rejected.append(lang == UNDETERMINED or (measured and margin < min_margin))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(give_back(run), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import HOT_SHARE, join_groups, materialize, pieces, tidy
+from tracelight.llm._common import HOT_SHARE, give_back, join_groups, materialize, pieces, tidy
 from tracelight.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -209,7 +209,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=schema.fieldNames())
 
-    return df.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(give_back(run), schema)
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _met(pairs: DataFrame, table: DataFrame, test) -> DataFrame:
                 at = stop
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0)], names=["a", "b"]).filter(pa.array(keep))
 
-    return together.select("b", "_part", "_turn", "a", "n", "data").mapInArrow(run, schema)
+    return together.select("b", "_part", "_turn", "a", "n", "data").mapInArrow(give_back(run), schema)
 
 
 def _likely(n: int, data: bytes, others, registers) -> np.ndarray:
@@ -288,7 +288,7 @@ def _full_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> Dat
                 found = shingle_sets(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=schema.fieldNames())
 
-    return materialize(texts.mapInArrow(sets, schema).where("n > 0"), "near-sets")
+    return materialize(texts.mapInArrow(give_back(sets), schema).where("n > 0"), "near-sets")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -450,7 +450,7 @@ def _settling_links(involved: DataFrame, sets: DataFrame, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     dealt = _dealt(involved.join(sets.select("id", "data"), "id"), "data")
-    return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return dealt.mapInArrow(give_back(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 @tidy

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import materialize, tidy
+from tracelight.llm._common import give_back, materialize, tidy
 from tracelight.llm.bpe import chunk_ids
 
 WINDOW = 2048
@@ -176,7 +176,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col
             yield flush()
 
     source = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    pieces = materialize(source.mapInArrow(run, schema), "pieces")
+    pieces = materialize(source.mapInArrow(give_back(run), schema), "pieces")
     counts = pieces.where("offset = 0").groupBy("_part", "tier").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("tier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("tier")))
