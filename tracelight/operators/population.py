@@ -52,6 +52,14 @@ class AnimalContrast:
     excluded: list
 
 
+class TooFewAnimals(ValueError):
+    """Fewer than two animals with both levels; ``animals`` says how many there are."""
+
+    def __init__(self, animals: int):
+        super().__init__("two animals per level at least")
+        self.animals = animals
+
+
 def infer_animals(estimates: DataFrame, *, a: str, b: str, animal: str = "subject", level: str = "condition", design: str = "paired", scale: str = "difference", sign: str = "b-a", draws: int = 10_000, seed: int = 0) -> AnimalContrast:
     """Contrast of levels over animals: bootstrap interval, sign flips or label shuffles for the p value.
 
@@ -68,7 +76,7 @@ def infer_animals(estimates: DataFrame, *, a: str, b: str, animal: str = "subjec
         x, y = (np.array([r["estimate"] for r in found if r[level] == v], float) for v in (a, b))
         excluded = []
     if min(len(x), len(y)) < 2:
-        raise ValueError("two animals per level at least")
+        raise TooFewAnimals(len(x) if design == "paired" else len(x) + len(y))
     if scale == "ratio":
         if (x <= 0).any() or (y <= 0).any():
             raise ValueError("a ratio needs positive estimates")
