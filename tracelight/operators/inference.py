@@ -55,11 +55,11 @@ def welch_t(cells: DataFrame, *, factor: str, numerator: str, denominator: str,
 
 
 def leave_one_out(contrasts: DataFrame, unit: str, by: list[str] | None = None) -> DataFrame:
-    """The mean contrast without each unit, and how far that moves it."""
+    """The mean contrast without each unit, and how far that moves it; NaN for a unit that is alone."""
     by = by or []
     sums = contrasts.groupBy(*by).agg(F.sum("contrast").alias("_s"), F.count("contrast").alias("_n"))
     joined = contrasts.join(sums, by) if by else contrasts.crossJoin(F.broadcast(sums))  # one row
-    out = joined.where("_n > 1").withColumn("without", (F.col("_s") - F.col("contrast")) / (F.col("_n") - 1))
+    out = joined.withColumn("without", F.when(F.col("_n") > 1, F.try_divide(F.col("_s") - F.col("contrast"), F.col("_n") - 1)).otherwise(float("nan")))
     return out.select(*by, unit, "without", (F.col("without") - F.col("_s") / F.col("_n")).alias("shift"))
 
 
@@ -70,10 +70,12 @@ def hedges_gz(mean: Column, sd: Column, n: Column) -> Column:
 def exact_sign_flips(contrasts: DataFrame, unit: str, *, most: int = 20) -> DataFrame:
     """Share of all sign assignments with a mean at least as large in size: 2**n rows of a sequence times n units.
 
-    More than ``most`` units are refused."""
+    More than ``most`` units are refused. Without a unit there is the empty assignment alone, and no estimate."""
     n = contrasts.count()
-    if not 0 < n <= most:
-        raise ValueError(f"exact enumeration needs 1 to {most} units, there are {n}")
+    if n > most:
+        raise ValueError(f"exact enumeration takes {most} units at most, there are {n}")
+    if n == 0:
+        return contrasts.sparkSession.createDataFrame([(None, None, 1)], "estimate double, p_value double, assignments long")
     values = contrasts.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("contrast").alias("c")))), lambda s: s["c"]).alias("c"))
     flips = values.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
     total = F.aggregate(F.transform("c", lambda x, i: F.when(F.expr("k").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x)
