@@ -19,7 +19,7 @@ def summarize_multiscale(samples: DataFrame, keys=RECORDING, *, windows: list[tu
     lines between samples, with the values at the window's edges interpolated."""
     keys = list(keys)
     marked = mark_runs(samples, keys, value=value, gap_factor=gap_factor, partition=partition)
-    runs = run_table(marked, keys).where("n >= 2")
+    runs = run_table(marked, keys).where("n >= 2 and stop_us > start_us")  # samples at one time span no window
     specs = F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.lit(int(round(d * US))).cast("long").alias("dur"), F.lit(int(round(s * US))).cast("long").alias("step")) for n, d, s in windows])).alias("_w")
     grid = runs.select(*keys, "run_id", "start_us", "stop_us", specs).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("stop_us") - F.col("start_us")) / F.col("_w.step")).cast("long") - 1)))
     grid = grid.select(*keys, "run_id", F.col("_w.scale").alias("scale"), F.col("_at").alias("ordinal"), F.col("_w.dur").alias("duration_us"), (F.col("start_us") + F.col("_at") * F.col("_w.step")).alias("w0"), F.col("stop_us").alias("run_stop_us"))
