@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelight.kernels.order import Windows, first_stable
 from tracelight.model import require
 from tracelight.operators.joins import overlap_join, overlap_us, range_join
+from tracelight.operators.slices import per_slice
 
 KEYS = ("subject", "session")
 US = 1_000_000
@@ -127,21 +130,41 @@ def recovery_times(samples: DataFrame, pulses: DataFrame, keys=KEYS, *, baseline
     keys = list(keys)
     after = F.lead("start_us").over(Window.partitionBy(*keys).orderBy("start_us", "interval_id"))
     spans = pulses.withColumn("_end", F.least(F.col("stop_us") + int(assessment_s * US), F.coalesce(after, F.lit(1 << 62)))).withColumn("censored", F.coalesce(after < F.col("stop_us") + int(assessment_s * US), F.lit(False)))
-    base = spans.select(*keys, "interval_id", (F.col("start_us") - int((baseline_s + guard_s) * US)).alias("start_us"), (F.col("start_us") - int(guard_s * US)).alias("stop_us"))
-    kept = samples.where(F.col(value).isNotNull()).select(*keys, "t_us", value)
-    before = range_join(kept, base, keys, bucket_us=max(int(baseline_s * US), 1))
-    middle = before.groupBy(*keys, "interval_id").agg(F.percentile(f"p_{value}", F.lit(0.5)).alias("baseline"), F.count("*").alias("n_baseline"))
-    scale = before.join(middle, [*keys, "interval_id"]).groupBy(*keys, "interval_id").agg((1.4826 * F.percentile(F.abs(F.col(f"p_{value}") - F.col("baseline")), F.lit(0.5))).alias("scale"))
-    look = spans.select(*keys, "interval_id", F.col("stop_us").alias("start_us"), F.col("_end").alias("stop_us"))
-    follow = range_join(kept, look, keys, bucket_us=max(int(assessment_s * US), 1)).join(middle, [*keys, "interval_id"]).join(scale, [*keys, "interval_id"])
-    ok = F.abs(F.col(f"p_{value}") - F.col("baseline")) <= threshold_sd * F.col("scale")
-    w = Window.partitionBy(*keys, "interval_id").orderBy("p_t_us").rowsBetween(0, stable - 1)
-    follow = follow.withColumn("_stable", F.sum(ok.cast("long")).over(w) == stable)
-    found = follow.groupBy(*keys, "interval_id").agg(
-        F.max(F.abs(F.col(f"p_{value}") - F.col("baseline")) / F.when(F.col("scale") > 0, F.col("scale"))).alias("peak_sd"), F.min(F.when(F.col("_stable"), (F.col("p_t_us") - F.col("start_us")) / 1e6)).alias("recovery_s")
-    )
-    out = spans.select(*keys, "interval_id", "censored").join(middle, [*keys, "interval_id"], "left").join(scale, [*keys, "interval_id"], "left").join(found, [*keys, "interval_id"], "left")
-    return out.withColumn("assessed", F.coalesce(F.col("n_baseline") >= minimum_baseline, F.lit(False)))
+    kept = samples.where(F.col(value).isNotNull()).select(*keys, "t_us", F.col(value).cast("double").alias("v"))
+    far, guard = int((baseline_s + guard_s) * US), int(guard_s * US)
+
+    def before(asked: dict, points: dict) -> dict:
+        start, back = np.unique(asked["start_us"], return_inverse=True)
+        i, j = np.searchsorted(points["t_us"], start - far), np.searchsorted(points["t_us"], start - guard)
+        n, some = j - i, np.flatnonzero(j > i)
+        middle, scale = np.zeros(len(n)), np.zeros(len(n))
+        if len(some):
+            windows = Windows(points["v"])
+            middle[some] = windows.median(i[some], j[some])
+            scale[some] = 1.4826 * windows.median_deviation(i[some], j[some], middle[some])
+        none = (n == 0)[back]
+        return {"baseline": np.ma.array(middle[back], mask=none), "n_baseline": np.ma.array(n[back], mask=none), "scale": np.ma.array(scale[back], mask=none)}
+
+    def after_it(asked: dict, points: dict) -> dict:
+        stop, end, middle, scale = (asked[c] for c in ("stop_us", "_end", "baseline", "scale"))
+        t, x = points["t_us"], points["v"]
+        i, j = np.searchsorted(t, stop), np.searchsorted(t, end)
+        peak, recovery = np.ma.masked_all(len(i)), np.ma.masked_all(len(i))
+        some = np.flatnonzero((j > i) & ~np.isnan(middle))
+        if len(some):
+            windows = Windows(x)
+            low, high = windows.kth(i[some], j[some], np.zeros(len(some), np.int64)), windows.kth(i[some], j[some], j[some] - i[some] - 1)
+            furthest, spread = np.maximum(np.abs(low - middle[some]), np.abs(high - middle[some])), scale[some] > 0
+            peak[some[spread]] = furthest[spread] / scale[some][spread]
+            place = first_stable(x, i[some], j[some], middle[some], threshold_sd * scale[some], stable)
+            recovery[some[place >= 0]] = (t[place[place >= 0]] - stop[some[place >= 0]]) / 1e6
+        return {"peak_sd": peak, "recovery_s": recovery}
+
+    double = lambda c: T.StructField(c, T.DoubleType())
+    spans = spans.select(*keys, "interval_id", "censored", "start_us", "stop_us", "_end")
+    found = per_slice(spans, kept, keys, before, [double("baseline"), T.StructField("n_baseline", T.LongType()), double("scale")], before_us=far, after_us=0, at="start_us")
+    out = per_slice(found, kept, keys, after_it, [double("peak_sd"), double("recovery_s")], before_us=0, after_us=int(assessment_s * US), at="stop_us", asks=("_end", "baseline", "scale"))
+    return out.drop("start_us", "stop_us", "_end").withColumn("assessed", F.coalesce(F.col("n_baseline") >= minimum_baseline, F.lit(False)))
 
 
 def pair_start_stop(rows: DataFrame, keys=KEYS, *, behavior: str = "label", status: str = "status") -> DataFrame:
