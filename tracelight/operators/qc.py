@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import fraction
 from tracelight.model import RECORDING, recording_window
-from tracelight.operators.events import window_means
 from tracelight.operators.preprocess import reference_fit
 from tracelight.operators.runs import intervals_of, run_length_encode
+from tracelight.operators.slices import window_sums
 
 KEYS = ("subject", "session")
 GAP_FACTOR = 1.5
@@ -72,11 +72,9 @@ def event_confounds(samples: DataFrame, events: DataFrame, *, baseline=(-0.5, 0.
     """Per recording: mean event response of the reference in its own standard deviations, and the events' correlation of signal and reference responses."""
     keys = list(keys)
     spread = samples.groupBy(*keys).agg(F.stddev_pop("reference").alias("_sd"))
-    parts = events.select(*keys, "event_id")
-    for value in ("signal", "reference"):
-        for name, window in (("b", baseline), ("r", response)):
-            parts = parts.join(window_means(events, samples, window, value=value, name=f"{value}_{name}", keys=keys).select(*keys, "event_id", f"{value}_{name}_mean"), [*keys, "event_id"], "left")
-    parts = parts.withColumn("_s", F.col("signal_r_mean") - F.col("signal_b_mean")).withColumn("_r", F.col("reference_r_mean") - F.col("reference_b_mean"))
+    parts = window_sums(events.select(*keys, "event_id", "t_us"), samples, {"b": baseline, "r": response}, ["signal", "reference"], keys)
+    mean = lambda name, value: F.when(F.col(f"{name}_n") == F.col(f"{name}_{value}_k"), F.col(f"{name}_{value}_m"))
+    parts = parts.withColumn("_s", mean("r", "signal") - mean("b", "signal")).withColumn("_r", mean("r", "reference") - mean("b", "reference"))
     out = parts.groupBy(*keys).agg(F.count("_r").alias("n_events"), F.avg("_r").alias("_m"), F.corr("_s", "_r").alias("event_correlation")).join(spread, keys)
     out = out.withColumn("reference_event_effect_sd", F.when(F.col("_sd") > 0, F.col("_m") / F.col("_sd")))
     return out.withColumn("warning", F.coalesce(F.abs("reference_event_effect_sd") >= 0.5, F.lit(False))).drop("_m", "_sd")
