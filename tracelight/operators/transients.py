@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,20 +44,62 @@ def detect_chunked(samples: DataFrame, keys=RECORDING, *, chunk: int, high_mad:
 def _kernel_rows(samples: DataFrame, keys, value: str, kernel, *, gap_factor: float | None, fields) -> DataFrame:
     keys = list(keys)
     marked = mark_runs(samples, keys, value=value, gap_factor=gap_factor)
+    by = [*keys, "run_id"]
     schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("run_id", T.LongType()), *fields])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_us")
-        rows = kernel(pdf["t_us"].to_numpy(), pdf[value].to_numpy(float))
-        head = [pdf.iloc[0][k] for k in (*keys, "run_id")]
-        return pd.DataFrame([[*head, *r] for r in rows], columns=schema.fieldNames())
+    def rows_of(table: pa.Table):
+        """Kernel rows of the runs of a table in order of run and time, as one table."""
+        t, x = table.column("t_us").to_numpy(), table.column(value).to_numpy().astype(float)
+        new = np.zeros(len(t), bool)
+        for k in by:
+            codes = table.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if pa.types.is_string(table.schema.field(k).type) else table.column(k).to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new), [len(t)]])
+        found, places = [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            if b - a > 2:  # a maximum has a lower sample on either side
+                for row in kernel(t[a:b], x[a:b]):
+                    found.append(row)
+                    places.append(a)
+        heads = table.select(by).take(pa.array(places, pa.int64()))
+        columns = list(zip(*found)) or [[] for _ in fields]
+        kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() for f in fields]
+        return pa.table([*heads.columns, *[pa.array(c, kind) for c, kind in zip(columns, kinds)]], names=schema.fieldNames())
+
+    def run(batches):
+        """Whole runs of many batches at a time; the last run waits for the batch after it."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = lambda i, other, j: all(batch.column(k)[i].as_py() == other.column(k)[j].as_py() for k in by)
+            if held and same(batch.num_rows - 1, held[0], 0):
+                held.append(batch)  # one run so far
+                continue
+            low, high = 0, batch.num_rows - 1  # first row of the batch's last run
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if same(mid, batch, batch.num_rows - 1) else (mid + 1, high)
+            whole = [*held, *([batch.slice(0, low)] if low else [])]
+            held = [batch.slice(low)]
+            if whole:
+                yield from rows_of(pa.Table.from_batches(whole)).to_batches()
+        if held:
+            yield from rows_of(pa.Table.from_batches(held)).to_batches()
 
-    return marked.select(*keys, "run_id", "t_us", value).groupBy(*keys, "run_id").applyInPandas(run, schema)
+    ordered = marked.select(*by, "t_us", value).repartition(*by).sortWithinPartitions(*by, "t_us")
+    return ordered.mapInArrow(run, schema)
 
 
 CANDIDATE = [T.StructField("sample", T.LongType()), T.StructField("t_us", T.LongType()), T.StructField("peak", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
+def _samples_in(seconds: float, t: np.ndarray) -> int:
+    """A distance in median steps of a run, one at least; all of a run whose samples mostly share their times."""
+    step = float(np.median(np.diff(t)))
+    return max(1, int(np.ceil(seconds * US / step))) if step else len(t) if seconds else 1
+
+
 def _baseline(t: np.ndarray, x: np.ndarray, at: int, start_s: float, end_s: float, how: str) -> float:
     """Statistic of the samples from ``start_s`` to ``end_s`` before a peak; NaN without any."""
     a, b = np.searchsorted(t, [t[at] - start_s * US, t[at] - end_s * US])
@@ -69,8 +111,7 @@ def detect_amplitude(samples: DataFrame, keys=RECORDING, *, amplitude: float, ba
     """Maxima at least ``amplitude`` above their local baseline; ``score`` is that amplitude."""
 
     def kernel(t, x):
-        step = float(np.median(np.diff(t))) if len(t) > 1 else 1.0
-        for p in find_peaks(x, distance=max(1, int(np.ceil(distance_s * US / step)))):
+        for p in find_peaks(x, distance=_samples_in(distance_s, t)):
             score = x[p] - _baseline(t, x, p, start_s, end_s, baseline)
             if score >= amplitude:
                 yield int(p), int(t[p]), float(x[p]), float(score)
@@ -85,12 +126,12 @@ def detect_prominence(samples: DataFrame, keys=RECORDING, *, height_z: float = 1
         if len(x) < 3:
             return
         step = float(np.median(np.diff(t)))
-        n = max(1, min(len(x), int(round(detrend_s * US / step))))
+        n = max(1, min(len(x), int(round(detrend_s * US / step)))) if step else len(x)
         sums = np.concatenate([[0.0], np.cumsum(x)])
         lo, hi = np.maximum(np.arange(len(x)) - n // 2, 0), np.minimum(np.arange(len(x)) + n - n // 2, len(x))
         z = x - (sums[hi] - sums[lo]) / (hi - lo)
         z = (z - z.mean()) / (z.std() or 1.0)
-        for p in find_peaks(z, height=height_z, distance=max(1, int(np.ceil(distance_s * US / step))), prominence=prominence_z):
+        for p in find_peaks(z, height=height_z, distance=_samples_in(distance_s, t), prominence=prominence_z):
             yield int(p), int(t[p]), float(x[p]), float(z[p])
 
     return _kernel_rows(samples, keys, value, kernel, gap_factor=gap_factor, fields=CANDIDATE)
@@ -101,7 +142,6 @@ def detect_transients(samples: DataFrame, keys=RECORDING, *, mode: str = "rollin
     width and area; crossings that the run's edge hides leave both missing."""
 
     def kernel(t, x):
-        step = float(np.median(np.diff(t))) if len(t) > 1 else 1.0
         overall = max(MAD * float(np.median(np.abs(x - np.median(x)))), np.finfo(float).eps)
         peaks = find_peaks(x)
         rows = []
@@ -117,7 +157,7 @@ def detect_transients(samples: DataFrame, keys=RECORDING, *, mode: str = "rollin
                 unit = max(MAD * float(np.median(np.abs(x[a:b] - np.median(x[a:b])))), np.finfo(float).eps)
             if x[p] - base >= threshold * unit:
                 rows.append((p, base, x[p] - base))
-        kept = set(_spread([r[0] for r in rows], [r[2] for r in rows], max(1, int(np.ceil(distance_s * US / step)))))
+        kept = set(_spread([r[0] for r in rows], [r[2] for r in rows], _samples_in(distance_s, t)))
         for p, base, amplitude in rows:
             if p in kept:
                 left, right = _half_crossing(t, x, p, base, -1), _half_crossing(t, x, p, base, 1)
