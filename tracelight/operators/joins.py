@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("subject", "session")
+HOUR_US = 3_600_000_000
 
 
 def range_join(points: DataFrame, ranges: DataFrame, keys=KEYS, *, point: str = "t_us", start: str = "start_us", stop: str = "stop_us", bucket_us: int, closed: bool = False, how: str = "inner") -> DataFrame:
@@ -36,15 +37,21 @@ def range_join(points: DataFrame, ranges: DataFrame, keys=KEYS, *, point: str =
 def bracket(targets: DataFrame, samples: DataFrame, keys=KEYS, *, time: str = "t_us", carry: tuple[str, ...]) -> DataFrame:
     """Targets with the last sample at or before and the first at or after them (``b_*`` and ``a_*`` columns).
 
-    Both tables are laid in one order per key and the neighbours read off it: one shuffle, no pairing."""
+    Both tables are laid in one order per key and hour and the neighbours read off it, without pairing; where an hour has
+    none, they come from a small table of each hour's outermost samples."""
     keys = list(keys)
-    sides = samples.select(*keys, time, F.lit(0).alias("_kind"), F.struct(F.col(time).alias("t_us"), *[F.col(c) for c in carry]).alias("_s"), F.lit(None).cast(targets.select(F.struct("*")).schema[0].dataType).alias("_t"))
-    asked = targets.select(*keys, time, F.lit(1).alias("_kind"), F.lit(None).cast(sides.schema["_s"].dataType).alias("_s"), F.struct("*").alias("_t"))
+    hour = F.floor(F.col(time) / HOUR_US).alias("_hour")
+    sides = samples.select(*keys, time, hour, F.lit(0).alias("_kind"), F.struct(F.col(time).alias("t_us"), *[F.col(c) for c in carry]).alias("_s"), F.lit(None).cast(targets.select(F.struct("*")).schema[0].dataType).alias("_t"))
+    asked = targets.select(*keys, time, hour, F.lit(1).alias("_kind"), F.lit(None).cast(sides.schema["_s"].dataType).alias("_s"), F.struct("*").alias("_t"))
     both = sides.unionByName(asked)
-    back = Window.partitionBy(*keys).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "_hour").orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "_hour").orderBy(F.col(time).desc(), F.col("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_b", F.last("_s", ignorenulls=True).over(back)).withColumn("_a", F.last("_s", ignorenulls=True).over(ahead))
-    out = both.where("_kind = 1")
+    hours = both.groupBy(*keys, "_hour").agg(F.max_by("_s", F.when(F.col("_kind") == 0, F.col(time))).alias("_last"), F.min_by("_s", F.when(F.col("_kind") == 0, F.col(time))).alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(*keys, "_hour", F.last("_last", ignorenulls=True).over(earlier).alias("_before"), F.last("_first", ignorenulls=True).over(later).alias("_after"))
+    out = both.where("_kind = 1").join(hours, [*keys, "_hour"], "left").withColumn("_b", F.coalesce("_b", "_before")).withColumn("_a", F.coalesce("_a", "_after"))
     return out.select("_t.*", *[F.col(f"_b.{c}").alias(f"b_{c}") for c in ("t_us", *carry)], *[F.col(f"_a.{c}").alias(f"a_{c}") for c in ("t_us", *carry)])
 
 
