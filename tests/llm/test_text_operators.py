@@ -315,6 +315,16 @@ def test_token_counts_equal_the_library_at_every_prefix():
         assert int(own.steps(r[1] or "").sum(dtype=int)) == len(lib.encode(r[1] or "", add_special_tokens=False).ids)
 
 
+def test_token_counts_of_words_need_no_pattern():
+    # op10: words, and those before stops, commas and line feeds, are told apart by their letters; other stretches are not
+    lib, own = Tokenizer.from_file(BYTE_BPE), PrefixCounts(BYTE_BPE)
+    asked, find = [], own.find
+    own.find = lambda text: asked.append(text) or find(text)
+    text = "One straßeniño erheitte, niño.\nThe ndtian. of\ndon't\n\nstop ⅷx a1,\nb.\n'll l'\ns"
+    assert np.cumsum(own.steps(text), dtype=int).tolist() == [len(lib.encode(text[: k + 1], add_special_tokens=False).ids) for k in range(len(text))]
+    assert not {" erheitte,", " niño.\nThe", "\nThe", " ndtian.", " straßeniño", "\nb."} & set(asked)
+
+
 def test_token_index_answers_budgets(docs, empty):
     lib = Tokenizer.from_file(BYTE_BPE)
     index = token_counts.token_prefix_index(docs, BYTE_BPE)

@@ -56,6 +56,22 @@ class _Learned(dict):
         return found
 
 
+class _Kept(_Learned):
+    """One that keeps short keys alone, and starts afresh when it is full."""
+
+    def __init__(self, learn, entries: int):
+        super().__init__(learn)
+        self.entries = entries
+
+    def __missing__(self, key):
+        found = self.learn(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.entries:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class ChunkIds:
     """Ids of whole texts from a word BPE that drops white space, by a cache of white-space-free chunks.
 
@@ -147,9 +163,10 @@ class PrefixCounts:
                 self.trie.add_word(raw, (token, len(raw)))
         self.trie.make_automaton()
         self.find = regex.compile(BYTE_PATTERN).findall
+        self.lines = re.compile(r"(?<=\S)\n(?=\S)").split
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.is_space = regex.compile(rf"[{SPACE}]+").fullmatch
-        self.entries, self.pairs, self.pretokens, self.units = entries, {}, {}, {}
+        self.entries, self.pairs, self.pretokens, self.units = entries, {}, {}, _Kept(self._stretch, entries)
 
     def _stand(self, before: int, token: int) -> bool:
         """Whether ``token`` may follow ``before`` (-1: may stand alone) in an encoding."""
@@ -234,18 +251,35 @@ class PrefixCounts:
             before = piece
         return _bytes(steps)
 
+    def _letters(self, piece: str) -> bytes:
+        """Steps of a pretoken of at most CACHE_CHARS letters; so short, no step leaves a byte."""
+        if piece.isascii():
+            count = self._counts(piece)
+        else:
+            raw = piece.encode().decode("latin-1")
+            count = self._counts(raw)
+            count = [0, *[n for n, c in zip(count[1:], raw[1:] + " ") if not "\x80" <= c < "\xc0"]]
+        return bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
+
+    def _stretch(self, key: str) -> bytes:
+        """Steps of a line feed or, where ``key`` starts with none, a space, and of what follows up to the next. Letters below
+        U+0250, alone or before a stop or comma, are told apart without a pattern."""
+        fed = key[0] == "\n"
+        body = key[1:] if fed else key
+        word = body[:-1] if body[-1] in ".," else body
+        if len(key) > CACHE_CHARS or not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+            return self.unit(key if fed else " " + key)
+        steps = self.pretoken("\n")[0] + self._letters(word) if fed else self._letters(" " + word) if word is body else self.units[word]
+        return steps if word is body else steps + self.pretoken(body[-1])[0]
+
     def _plain(self, text: str) -> list[bytes]:
-        first, *rest = self.split(text)
-        units, parts = self.units, [self.unit(first)] if first else []
-        for key in rest:
-            steps = units.get(key)
-            if steps is None:
-                steps = self.unit(" " + key)
-                if len(key) <= CACHE_CHARS:
-                    if len(units) >= self.entries:
-                        units = self.units = {}
-                    units[key] = steps
-            parts.append(steps)
+        """Steps by stretches. A line feed between two characters that are no white space is a pretoken, whatever stands around it."""
+        get, parts = self.units.__getitem__, []
+        for k, line in enumerate(self.lines(text)):
+            first, *rest = self.split(line)
+            if first:
+                parts.append(get("\n" + first) if k else self.unit(first))
+            parts += map(get, rest)
         return parts
 
     def steps(self, text: str) -> np.ndarray:
