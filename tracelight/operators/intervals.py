@@ -181,8 +181,11 @@ def pair_start_stop(rows: DataFrame, keys=KEYS, *, behavior: str = "label", stat
 
 
 def normalized_progress(times: DataFrame, intervals: DataFrame, keys=KEYS, *, bucket_us: int = 3600 * US) -> DataFrame:
-    """(t - start) / (stop - start) of the times inside an interval, both ends included."""
-    hit = range_join(times, intervals, keys, bucket_us=bucket_us, closed=True).where("stop_us > start_us")
+    """(t - start) / (stop - start) of the times inside an interval, both ends included.
+
+    The result has a row for each time in each interval, so it grows with the square of a recording's density; what is made
+    on the way to it does not."""
+    hit = range_join(times, intervals.where("stop_us > start_us"), keys, bucket_us=bucket_us, closed=True, packed=True)
     return hit.withColumn("progress", (F.col("p_t_us") - F.col("start_us")) / (F.col("stop_us") - F.col("start_us")))
 
 

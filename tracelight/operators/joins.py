@@ -13,11 +13,12 @@ KEYS = ("subject", "session")
 HOUR_US = 3_600_000_000
 
 
-def range_join(points: DataFrame, ranges: DataFrame, keys=KEYS, *, point: str = "t_us", start: str = "start_us", stop: str = "stop_us", bucket_us: int, closed: bool = False, how: str = "inner") -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, keys=KEYS, *, point: str = "t_us", start: str = "start_us", stop: str = "stop_us", bucket_us: int, closed: bool = False, how: str = "inner", packed: bool = False) -> DataFrame:
     """Rows of ``ranges`` with the rows of ``points`` inside ``[start, stop)`` (``[start, stop]`` if closed).
 
     Ranges longer than a bucket are listed under each bucket they touch. ``how`` is inner or left
-    (ranges without points stay, with null point columns)."""
+    (ranges without points stay, with null point columns). ``packed``: a bucket's points meet its ranges as one array,
+    which is unrolled where it is; for points so dense that the result dwarfs both tables."""
     keys = list(keys)
     own = ranges.withColumn("_rid", F.monotonically_increasing_id()) if how == "left" else ranges
     first, last = F.floor(F.col(start) / bucket_us), F.floor(F.col(stop) / bucket_us)
@@ -26,8 +27,14 @@ def range_join(points: DataFrame, ranges: DataFrame, keys=KEYS, *, point: str =
     dealt = points.select(*[F.col(k).alias(f"_p_{k}") for k in keys], *[F.col(c).alias(f"p_{c}") for c in extra], F.floor(F.col(point) / bucket_us).alias("_pb"))
     t = F.col(f"p_{point}")
     inside = (t >= F.col(start)) & ((t <= F.col(stop)) if closed else (t < F.col(stop)))
-    cond = [listed[k] == dealt[f"_p_{k}"] for k in keys] + [listed["_bucket"] == dealt["_pb"], inside]
-    joined = listed.join(dealt, cond, "inner").drop("_bucket", "_pb", *[f"_p_{k}" for k in keys])
+    same = [F.col(k) == F.col(f"_p_{k}") for k in keys] + [F.col("_bucket") == F.col("_pb")]
+    helpers = ["_bucket", "_pb", *[f"_p_{k}" for k in keys]]
+    if packed:
+        own_key = ["_pb", *[f"_p_{k}" for k in keys]]
+        arrays = dealt.groupBy(*own_key).agg(F.collect_list(F.struct(*[F.col(f"p_{c}") for c in extra])).alias("_points"))
+        joined = listed.join(arrays, same).drop(*helpers).select(*own.columns, F.inline("_points")).where(inside)
+    else:
+        joined = listed.join(dealt, [*same, inside], "inner").drop(*helpers)
     if how == "inner":
         return joined
     missing = own.join(joined.select("_rid").distinct(), "_rid", "left_anti")

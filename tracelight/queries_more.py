@@ -167,11 +167,12 @@ def clock_transform(spark, d):
 @query("""select b.subject, b.session, b.interval_id, k as hat, round(greatest(0, 1 - abs((s.t_us - b.start_us) / (b.stop_us - b.start_us) * 4 - k)), 6) as weight, s.t_us from (select *, unnest(range(0, 5)) as k from bouts where label = 'view') b
 join samples s on s.subject = b.subject and s.session = b.session and s.t_us >= b.start_us and s.t_us <= b.stop_us and s.event_type = 'click'""", "samples", "bouts")
 def progress_basis(spark, d):
-    clicks = views.samples(spark, d).where("event_type = 'click'").select(*KEYS, "t_us", F.col("t_us").alias("n_t_us"), F.lit("c").alias("event_id"))
+    clicks = views.samples(spark, d).where("event_type = 'click'").select(*KEYS, "t_us")
     inside = intervals.normalized_progress(clicks, views.bouts(spark, d).where("label = 'view'"))
     hats = specs.LinearProgressBasisSpec(5).run(F.col("progress"))
     out = inside.select(*KEYS, "interval_id", F.col("p_t_us").alias("t_us"), F.posexplode(F.array(*hats)).alias("hat", "weight"))
-    return rounded(out, "weight")
+    # weights are 0 to 1: rounded without a decimal number for each
+    return out.withColumn("weight", F.floor(F.col("weight") * 1e6 + 0.5) / 1e6)
 
 
 # -- compatibility
