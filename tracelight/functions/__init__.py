@@ -1,10 +1,28 @@
-"""Column expressions shared by the operators."""
+"""Column expressions shared by the operators, and the tasks a table needs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of input files to a task where a whole table is grouped by its rows' own keys: about half a million line items.
+TASK_BYTES = 8 << 20
+#: Beyond so many tasks a task's share grows, and its sorts spill.
+MOST_TASKS = 20_000
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """Tasks for the rows of tables, by the size of the files below them: a task's share stays the same as they grow.
+
+    Left to itself, Spark joins a shuffle's partitions until one has up to 64 MB compressed, many times that in memory."""
+    size = 0
+    for table in tables:
+        leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size += sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= 1 << 60:  # a table whose size is not known counts as endless
+        return int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(1, -(-size // TASK_BYTES)), MOST_TASKS)
+
 
 def finite(x: Column) -> Column:
     """NaN and the infinities become null: null is the one mark of a missing sample."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.functions import fraction
+from tracelight.functions import fraction, tasks_for
 from tracelight.model import RECORDING, recording_window
 from tracelight.operators.preprocess import reference_fit
 from tracelight.operators.runs import intervals_of, run_length_encode
@@ -117,7 +117,9 @@ def validate_design(table: DataFrame, *, observation: str, nesting: dict[str, st
     """Violations of a study design: repeated observations, a unit in two parents, a factor that varies inside its assignment unit.
 
     nesting: child unit -> parent unit; factors: factor -> the unit it is assigned to (``observation`` allows any)."""
-    checks = [table.groupBy(observation).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_observation").alias("check"), F.col(observation).cast("string").alias("unit"), F.col("n").alias("found"))]
+    # observations hardly repeat, so counting them before they are dealt out would only hold them all
+    dealt = table.select(observation).repartition(tasks_for(table), observation)
+    checks = [dealt.groupBy(observation).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_observation").alias("check"), F.col(observation).cast("string").alias("unit"), F.col("n").alias("found"))]
     for child, parent in nesting.items():
         found = table.groupBy(child).agg(F.count_distinct(parent).alias("n")).where("n > 1")
         checks.append(found.select(F.lit(f"{child}_in_two_{parent}").alias("check"), F.col(child).cast("string").alias("unit"), F.col("n").alias("found")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight.functions import tasks_for
+
 KEYS = ("subject", "session")
 CEILING = 200.0
 RATE_HZ = 20.0
@@ -43,6 +45,9 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = tasks_for(items, orders)
+    items = items.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice").repartition(tasks, "l_orderkey")
+    orders = orders.select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey")
     joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
     return joined.select(F.col("o_custkey").alias("animal"), F.col("l_orderkey").alias("session"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("observation"), F.col("l_returnflag").alias("condition"), (F.col("l_extendedprice") / 1000).alias("outcome"))
 
