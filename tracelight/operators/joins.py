@@ -32,7 +32,9 @@ def range_join(points: DataFrame, ranges: DataFrame, keys=KEYS, *, point: str =
     if packed:
         own_key = ["_pb", *[f"_p_{k}" for k in keys]]
         arrays = dealt.groupBy(*own_key).agg(F.collect_list(F.struct(*[F.col(f"p_{c}") for c in extra])).alias("_points"))
-        joined = listed.join(arrays, same).drop(*helpers).select(*own.columns, F.inline("_points")).where(inside)
+        # the tables are small beside the result: Spark would put them into too few tasks to share it out evenly
+        spread = listed.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, *keys, "_bucket")
+        joined = spread.join(arrays, same).drop(*helpers).select(*own.columns, F.inline("_points")).where(inside)
     else:
         joined = listed.join(dealt, [*same, inside], "inner").drop(*helpers)
     if how == "inner":
