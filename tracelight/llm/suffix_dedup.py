@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm._common import join_groups, materialize, tidy
+from tracelight.llm._common import give_back, join_groups, materialize, tidy
 from tracelight.llm.suffix_order import InducedSort
 
 MATCH = 50
@@ -30,6 +30,8 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of text behind one bucket of anchor hashes, and behind one shard of regions.
 BUCKET_TEXT = 16 << 20
 SHARD_TEXT = 2 << 20
+#: Shards of a task on average, one in memory at a time: a task writes one file, which on file:// costs the executor three chmod processes.
+SHARDS_PER_TASK = 4
 #: An anchor that occurs so often is hot: its windows go to shards of their own rather than all to the anchor's.
 HOT_ANCHOR = 8192
 #: Replies up to so many bytes are broadcast to the chunks; more meet them in a shuffled join.
@@ -169,17 +171,15 @@ def _anchor_rows(buckets: int, match: int):
 
 
 def _repeated(hot_anchor: int):
-    """Per chunk and bucket, a bit for each hash: whether it occurs in two documents anywhere; then, if any is hot, another: whether it is. Holds the hashes of its buckets."""
+    """Per chunk and bucket, a bit for each hash: whether it occurs in two documents anywhere; then, if any is hot, another: whether it is.
 
-    def run(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        if not rows:
-            return
-        hashes = [np.frombuffer(r[2], "<u4") for r in rows]
-        joined = np.concatenate([h.astype(np.uint64) | _U(r[0]) << _U(32) for h, r in zip(hashes, rows)])
-        seen = np.concatenate([np.frombuffer(r[3], "<u2") for r in rows])
+    Buckets are dealt to tasks by hash, several to some: rows wait as they come, and one bucket at a time is laid out."""
+
+    def one(bucket, rows):
+        hashes = [np.frombuffer(r[1], "<u4") for r in rows]
+        joined = np.concatenate(hashes)
         order = np.argsort(joined, kind="stable")
-        own, seen = joined[order], seen[order]
+        own, seen = joined[order], np.concatenate([np.frombuffer(r[2], "<u2") for r in rows])[order]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
         counts = np.diff(np.append(starts, len(own)))
         flags = np.empty((2, len(own)), bool)
@@ -188,7 +188,15 @@ def _repeated(hot_anchor: int):
             flags[1, order] = np.repeat(np.add.reduceat((seen & 0x7FFF).astype(np.int64), starts) >= hot_anchor, counts)
         cuts = np.cumsum([0, *map(len, hashes)])
         bits = [np.packbits(flags[0, s:e]).tobytes() + (np.packbits(flags[1, s:e]).tobytes() if flags[1, s:e].any() else b"") for s, e in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["chunk", "part", "reply"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(bits, pa.binary())], names=["chunk", "part", "reply"])
+
+    def run(batches):
+        rows: dict[int, list] = {}
+        for batch in batches:
+            for bucket, chunk, keys, seen in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.setdefault(bucket, []).append((chunk, keys, seen))
+        for bucket in list(rows):
+            yield one(bucket, rows.pop(bucket))
 
     return run
 
@@ -430,18 +438,18 @@ def suffix_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     dropped = F.broadcast(copies) if copies.count() <= 250_000 else copies
     single = source.join(dropped, (source["id"] == copies["_id"]) & (source["digest"] == copies["_digest"]), "left_anti")
 
-    chunks = single.select("id", "text").mapInArrow(_chunks, CHUNK)
+    chunks = single.select("id", "text").mapInArrow(give_back(_chunks), CHUNK)
     path_options = {"parquet.block.size": str(8 << 20)}
     chunks = materialize(chunks, "suffix-chunks", path_options)
     buckets, shards = max(1, size // BUCKET_TEXT), max(1, size // SHARD_TEXT)
-    sent = chunks.mapInArrow(_anchor_rows(buckets, match), "bucket long, chunk long, keys binary, seen binary")
+    sent = chunks.mapInArrow(give_back(_anchor_rows(buckets, match)), "bucket long, chunk long, keys binary, seen binary")
     kind = "chunk long, part long, reply binary"
-    found = materialize(sent.repartition(max(1, buckets // 2), "bucket").mapInArrow(_repeated(hot_anchor), kind), "suffix-anchors")
-    regions = materialize(_with_replies(chunks, found).mapInArrow(_region_rows(buckets, shards, match), REGION), "suffix-regions")
+    found = materialize(sent.repartition(max(1, buckets // 2), "bucket").mapInArrow(give_back(_repeated(hot_anchor)), kind), "suffix-anchors")
+    regions = materialize(_with_replies(chunks, found).mapInArrow(give_back(_region_rows(buckets, shards, match)), REGION), "suffix-regions")
     inside = regions.where("shard >= 0")
-    replies = materialize(inside.repartition(shards, "shard").mapInArrow(_shard_replies(match, memory), kind), "suffix-replies")
+    replies = materialize(inside.repartition(max(1, shards // SHARDS_PER_TASK), "shard").mapInArrow(give_back(_shard_replies(match, memory)), kind), "suffix-replies")
     result = _with_replies(chunks, replies, regions.where("shard = -1").select("chunk", "n", "data"))
-    result = materialize(result.select("chunk", "ids", "sizes", "text", "own", "reply").mapInArrow(_results(match), RESULT), "suffix-results")
+    result = materialize(result.select("chunk", "ids", "sizes", "text", "own", "reply").mapInArrow(give_back(_results(match)), RESULT), "suffix-results")
     per_text = result.dropDuplicates(["digest"]).join(groups, "digest")
     out = join_groups(rows, per_text.select("digest", "rep", "size", "n_removed", "n_spans", "kept_sha256"), ["digest"], "size", total, F.col("id"))
     copy = (F.col("rep") < F.col("id")) & (F.col("n") >= match)
